@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import jaccard
+from tessera.llm import jaccard, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,9 +18,34 @@ def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, folder, "documents"), n=3, num=90, den=100)
 
 
+#: Fixed rules.
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The five fixed rules; what they don't list is allowed."""
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES) + " AS rules(host, path, verdict)")
+    return urls.judge_urls(_table(spark, folder, "pages"), rules)
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+q AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM p),
+h AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM q),
+rules(r_host, r_path, r_verdict) AS (VALUES {values}),
+each AS (SELECT DISTINCT host, path FROM h),
+fit AS (
+  SELECT host, path, r_host || r_path AS rule, r_verdict, row_number() OVER (PARTITION BY host, path ORDER BY length(r_host || r_path) DESC) AS n
+  FROM each JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+)
+SELECT page_id, h.host, h.path, rule, coalesce(r_verdict, 'allow') AS verdict
+FROM h LEFT JOIN fit ON fit.host = h.host AND fit.path = h.path AND n = 1
+""".format(values=", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard,)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op5_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": OP5_SQL}
