@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import jaccard, urls
+from tessera.llm import jaccard, secret_scan, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,8 +43,12 @@ FROM h LEFT JOIN fit ON fit.host = h.host AND fit.path = h.path AND n = 1
 """.format(values=", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES))
 
 
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.secret_spans(_table(spark, folder, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op5_url_filter)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op5_url_filter, op6_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
