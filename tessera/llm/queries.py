@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import jaccard, secret_scan, urls
+from tessera.llm import jaccard, mpeg, secret_scan, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,8 +47,12 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digests(secret_scan.secret_spans(_table(spark, folder, "documents")))
 
 
+def op8_mpeg_audio(spark: SparkSession, folder: str) -> DataFrame:
+    return mpeg.digests(mpeg.read(mpeg.store(_table(spark, folder, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op5_url_filter, op6_secret_scan)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op5_url_filter, op6_secret_scan, op8_mpeg_audio)}
 
 
 def oracle_sql() -> dict[str, str]:
