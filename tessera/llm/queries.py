@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import jaccard, mpeg, secret_scan, urls
+from tessera.llm import jaccard, mpeg, secret_scan, substrings, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,8 +51,13 @@ def op8_mpeg_audio(spark: SparkSession, folder: str) -> DataFrame:
     return mpeg.digests(mpeg.read(mpeg.store(_table(spark, folder, "documents"))))
 
 
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of 20 words."""
+    return substrings.digests(substrings.remove_repeats(_table(spark, folder, "documents"), window=20))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op5_url_filter, op6_secret_scan, op8_mpeg_audio)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op5_url_filter, op6_secret_scan, op8_mpeg_audio, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
