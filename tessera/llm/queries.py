@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, mpeg, secret_scan, substrings, urls
+from tessera.llm import jaccard, mixing, mpeg, secret_scan, substrings, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +19,12 @@ def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, folder, "documents"), n=3, num=90, den=100)
 
 
+def op4_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Weights 3, 1, 2; 150 % of all words; at most two copies."""
+    mixed = mixing.mix(_table(spark, folder, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, most=2)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 #: Fixed rules.
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
@@ -57,7 +64,7 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op5_url_filter, op6_secret_scan, op8_mpeg_audio, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op4_source_mix, op5_url_filter, op6_secret_scan, op8_mpeg_audio, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
