@@ -19,7 +19,9 @@ documents within the radius r = 1 - t as a recursive metric-space join:
    need no comparison of their own for components.
 3. *Recursion.*  Of each Voronoi region only members farther than r from its pivot, and those
    within r of such a one along the distance to the pivot, go on, with new pivots, until
-   none are left.  Regions of up to `region_rows` members are finished inside a task; larger ones
+   none are left.  Where the windows of several pivots hold more than `WIDEST` times the members
+   (all are about as far from each other), one pivot is taken alone: its region is everybody but
+   itself, so that the recursion ends.  Regions of up to `region_rows` members are finished inside a task; larger ones
    are dealt over tasks, each of which gets the same pivots.
 
 Equal sets are one node from the start, so that large groups of copies cost one row.
@@ -45,6 +47,8 @@ REGION_ROWS = 2048
 RANGES = 1.5
 #: Pivots at once in regions of more members than this.
 FEW, PIVOTS = 64, 8
+#: Members of the Voronoi regions with their windows, for each member, up to which they are taken.
+WIDEST = 1.5
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int, *, lower: bool = True) -> Iterator[np.ndarray]:
@@ -201,10 +205,11 @@ class Region:
             members = waiting.pop()
             if len(members) < 2 or len({self.find(x) for x in members.tolist()}) == 1:
                 continue
-            pivots = [self.centre(members)]
-            if len(members) > FEW:
-                pivots = list(dict.fromkeys([*pivots, *members[:: max(1, len(members) // PIVOTS)].tolist()]))
-            for _, rest, far in self.voronoi(members, pivots, self.link):
+            centre = self.centre(members)
+            parts = list(self.voronoi(members, [centre, *(x for x in members[:: max(1, len(members) // PIVOTS)].tolist() if x != centre)], self.link)) if len(members) > FEW else []
+            if not parts or sum(len(rest) for _, rest, _ in parts) > WIDEST * len(members):
+                parts = list(self.voronoi(members, [centre], self.link))
+            for _, rest, far in parts:
                 beyond = far > self.radius + 1e-12
                 if beyond.any():
                     waiting.append(rest[far >= far[beyond].min() - self.radius - 1e-9])
@@ -242,23 +247,27 @@ def _joined(num: int, den: int):
             region = Region(docs, [lists[starts[k] : starts[k + 1]] for k in first.tolist()], num, den)
             out: list[tuple] = []
             if table["whole"][0].as_py():
-                out = [(a, b, None, None, None) for a, b in region.finish()]
+                out = [(a, b, None, None, None, None, None) for a, b in region.finish()]
             else:
                 pivots = [int(np.searchsorted(docs, x)) for x in np.unique(table["doc"].to_numpy()[table["pivot"].to_numpy(zero_copy_only=False)])]
-                links: list[tuple] = []
-                share = [table["share"][0].as_py(), table["region"][0].as_py()]
-                for k, rest, far in region.voronoi(np.arange(len(docs)), pivots, lambda k, xs: links.extend((int(docs[x]), int(docs[k]), None, None, None) for x in xs.tolist() if x != k)):
-                    name = int(pair(np.array([share[1]], np.int64).view(_U), np.array([docs[k]], np.int64).view(_U)).view(np.int64)[0])
-                    out += [(None, None, name, int(docs[x]), float(d)) for x, d in zip(rest.tolist(), far.tolist(), strict=True)]
-                out += links
+                parent, everybody = table["region"][0].as_py(), np.arange(len(docs))
+
+                def link(k, xs, out=out, docs=docs):
+                    out.extend((int(docs[x]), int(docs[k]), None, None, None, None, None) for x in xs.tolist() if x != k)
+
+                for alone, ks in ((False, pivots), (True, pivots[:1])):
+                    for k, rest, far in region.voronoi(everybody, ks, link):
+                        name = int(pair(np.array([parent], np.int64).view(_U) + _U(alone), np.array([docs[k]], np.int64).view(_U)).view(np.int64)[0])
+                        out += [(None, None, parent, name, alone, int(docs[x]), float(d)) for x, d in zip(rest.tolist(), far.tolist(), strict=True)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "region", "doc", "far"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["a", "b", "parent", "region", "alone", "doc", "far"])
 
     return run
 
 
 def _round(docs: DataFrame, members: DataFrame, n: int, num: int, den: int, rows: int) -> DataFrame:
-    """One level of the recursion over members (region, doc): links (a, b) and members of the next level (region, doc, far)."""
+    """One level of the recursion over members (region, doc): links (a, b) and members of the next level (parent, region, alone, doc, far)."""
     sizes = members.groupBy("region").agg(F.count("*").alias("size"), F.min("doc").alias("lead"))
     dealt = members.join(sizes, "region").withColumn("shares", F.ceil(F.col("size") / rows))
     sampled = (F.col("doc") == F.col("lead")) | (F.pmod(F.xxhash64("doc", "region"), F.ceil(F.col("size") / PIVOTS)) == 0)
@@ -270,7 +279,7 @@ def _round(docs: DataFrame, members: DataFrame, n: int, num: int, den: int, rows
     wanted = places.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("region", "share", "pivot", "whole")).alias("places"))
     texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "places")
     sets = texts.mapInArrow(_member_sets(n), "doc long, region long, share long, pivot boolean, whole boolean, values array<long>")
-    return sets.repartition("region", "share").sortWithinPartitions("region", "share").mapInArrow(_joined(num, den), "a long, b long, region long, doc long, far double")
+    return sets.repartition("region", "share").sortWithinPartitions("region", "share").mapInArrow(_joined(num, den), "a long, b long, parent long, region long, alone boolean, doc long, far double")
 
 
 def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, region_rows: int = REGION_ROWS) -> DataFrame:
@@ -301,7 +310,9 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
         found = joined.where("a is not null").select("a", "b")
         links = found if links is None else links.unionByName(found)
         radius = 1 - num / den
-        onward = joined.where("a is null").select("region", "doc", "far")
+        onward = joined.where("a is null").select("parent", "region", "alone", "doc", "far")
+        wide = onward.groupBy("parent").agg(F.count_if(~F.col("alone")).alias("several"), F.count_if("alone").alias("one"))
+        onward = onward.join(wide, "parent").where(F.col("alone") == (F.col("several") > WIDEST * F.col("one"))).select("region", "doc", "far")
         edge = onward.where(F.col("far") > radius + 1e-12).groupBy("region").agg(F.min("far").alias("edge"))
         members = cut(onward.join(edge, "region").where(F.col("far") >= F.col("edge") - radius - 1e-9).select("region", "doc").distinct())
         rows *= 2  # regions that new pivots don't part end in one task after some rounds
