@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, mixing, mpeg, packing, secret_scan, substrings, urls
+from tessera.llm import jaccard, mixing, mpeg, packing, quality, secret_scan, substrings, urls
+from tessera.llm.calibration import id_remainder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +20,13 @@ def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, folder, "documents"), n=3, num=90, den=100)
 
 
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Learns from labels of rows whose crc32 remainder by 3 is not 1."""
+    held_out = id_remainder(F.col("doc_id"), 3) == 1
+    scores = quality.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels").where(~held_out), label="quality")
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Sequences of 2048 tokens of the byte-level BPE with 50k merges."""
     return packing.pack_documents(_table(spark, folder, "documents"), length=2048)
@@ -69,7 +77,7 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op3_best_fit_packing, op4_source_mix, op5_url_filter, op6_secret_scan, op8_mpeg_audio, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_classifier, op3_best_fit_packing, op4_source_mix, op5_url_filter, op6_secret_scan, op8_mpeg_audio, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
