@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, mixing, mpeg, packing, quality, secret_scan, substrings, urls
+from tessera.llm import jaccard, mixing, mpeg, packing, quality, secret_scan, substrings, toxicity, urls
 from tessera.llm.calibration import id_remainder
 
 
@@ -76,8 +76,15 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.digests(substrings.remove_repeats(_table(spark, folder, "documents"), window=20))
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Learns from labels of rows whose crc32 remainder by 5 is not 0."""
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    scores = toxicity.toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels").where(~held_out), label="toxic")
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_classifier, op3_best_fit_packing, op4_source_mix, op5_url_filter, op6_secret_scan, op8_mpeg_audio, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_classifier, op3_best_fit_packing, op4_source_mix, op5_url_filter, op6_secret_scan, op8_mpeg_audio, op9_substring_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
