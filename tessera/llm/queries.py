@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, mixing, mpeg, packing, quality, secret_scan, substrings, toxicity, urls
+from tessera.llm import ann, jaccard, mixing, mpeg, packing, quality, secret_scan, substrings, toxicity, urls
 from tessera.llm.calibration import id_remainder
 
 
@@ -67,6 +67,11 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digests(secret_scan.secret_spans(_table(spark, folder, "documents")))
 
 
+def op7_permutation_ann(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten neighbours of each vector whose id is divisible by 100."""
+    return ann.nearest(_table(spark, folder, "embeddings"), k=10, every=100)
+
+
 def op8_mpeg_audio(spark: SparkSession, folder: str) -> DataFrame:
     return mpeg.digests(mpeg.read(mpeg.store(_table(spark, folder, "documents"))))
 
@@ -84,7 +89,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_classifier, op3_best_fit_packing, op4_source_mix, op5_url_filter, op6_secret_scan, op8_mpeg_audio, op9_substring_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_classifier, op3_best_fit_packing, op4_source_mix, op5_url_filter, op6_secret_scan, op7_permutation_ann, op8_mpeg_audio, op9_substring_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
