@@ -23,7 +23,7 @@ PIVOTS = 256
 #: Pivots that a vector names.
 NAMED = 128
 #: Part of a block that is ranked by exact distances, and rows of it at least.
-RERANK, LEAST = 0.06, 128
+RERANK, LEAST = 0.3, 128
 #: Vectors of a block and queries of a group that meet in one task.
 BLOCK_ROWS, QUERY_ROWS = 8192, 2048
 
@@ -68,28 +68,33 @@ def _searched(pivots: int, k: int, rerank: float, least: int):
         if not len(block) or not len(queries):
             return empty
         block = block.sort_values("vec_id", kind="stable")
+        # Equal vectors are one entry of the lists; of their ids only the k + 1 smallest can be a result.
+        entry = pd.factorize(block["v"])[0]
+        block = block[block.groupby(entry).cumcount().to_numpy() <= k]
+        entry, heads = pd.factorize(block["v"])
+        first = np.unique(entry, return_index=True)[1]
         ids = block["vec_id"].to_numpy()
-        x = np.frombuffer(b"".join(block["v"]), np.float64).reshape(len(ids), -1)
-        named = np.frombuffer(b"".join(block["order"]), np.uint16).reshape(len(ids), -1)
+        order = np.argsort(entry, kind="stable")
+        members, at = ids[order], np.searchsorted(entry[order], np.arange(len(heads) + 1))
+        x = np.frombuffer(b"".join(heads), np.float64).reshape(len(heads), -1)
+        named = np.frombuffer(b"".join(block["order"].iloc[first]), np.uint16).reshape(len(heads), -1)
         bounds, rows, places = inverted_file(named, pivots)
-        width, take = named.shape[1], min(len(ids), max(least, int(np.ceil(len(ids) * rerank))))
+        width, take = named.shape[1], min(len(heads), max(least, int(np.ceil(len(heads) * rerank))))
         out = []
         for query, v, order in zip(queries["vec_id"].tolist(), queries["v"], queries["order"], strict=True):
-            saved = np.zeros(len(ids), np.int32)
+            saved = np.zeros(len(heads), np.int32)
             for place, pivot in enumerate(np.frombuffer(order, np.uint16).tolist()):
                 a, b = bounds[pivot], bounds[pivot + 1]
                 saved[rows[a:b]] += width - np.maximum(places[a:b], place)
-            saved[ids == query] = -1
-            if take < len(ids):
-                edge = np.partition(saved, len(ids) - take)[len(ids) - take]
-                chosen = np.flatnonzero(saved > edge)
-                chosen = np.concatenate((chosen, np.flatnonzero(saved == edge)[: take - len(chosen)]))
-            else:
-                chosen = np.arange(len(ids))
-            chosen = np.sort(chosen[ids[chosen] != query])
+            chosen = np.argpartition(-saved, take - 1)[:take] if take < len(heads) else np.arange(len(heads))
             far = np.sqrt(((x[chosen] - np.frombuffer(v, np.float64)) ** 2).sum(axis=1))
-            best = np.lexsort((ids[chosen], far))[:k]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[chosen][best], "score": far[best]}))
+            near = chosen[far <= np.partition(far, min(k, len(far) - 1))[min(k, len(far) - 1)]]
+            counts = at[near + 1] - at[near]
+            flat = np.repeat(at[near] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+            found, score = members[flat], np.repeat(np.sqrt(((x[near] - np.frombuffer(v, np.float64)) ** 2).sum(axis=1)), counts)
+            found, score = found[found != query], score[found != query]
+            best = np.lexsort((found, score))[:k]
+            out.append(pd.DataFrame({"query_id": query, "vec_id": found[best], "score": score[best]}))
         return pd.concat(out, ignore_index=True) if out else empty
 
     return run
