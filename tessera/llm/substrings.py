@@ -9,7 +9,7 @@ same document).  Three jobs, each of which moves a row for a *block* instead of
    anchor at most once, and says whether it has seen it twice; further places of an anchor that a task has
    seen twice are candidates by themselves, so that no anchor is a hot key.
 2. *Factors.*  Candidate blocks are hashed as a whole (their windows' words).  Blocks that a task has
-   earlier in full are matched there; the first of each goes to its anchor's partition.  Where all
+   earlier in full are matched there, and consecutive ones become one row; the first of each goes to its anchor's partition.  Where all
    blocks of an anchor are equal, the first keeps its windows and the others lose them.  Where
    they differ - at the ends of factors - the windows are compared one by one.
 3. *Removal.*  A factor is a maximal run of windows that stand earlier; its words go.
@@ -158,30 +158,42 @@ def _block_rows(window: int, anchor: int):
             new = np.concatenate(([True], whole[order][1:] != whole[order][:-1]))
             # One doc_id and place may stand in two rows: that is no earlier place.
             tie = np.concatenate(([False], (doc[order][1:] == doc[order][:-1]) & (start[order][1:] == start[order][:-1]) & ~new[1:]))
-            lead, late = order[new], order[~new & ~tie]
-            for rows, known in ((lead, False), (late, True)):
-                for a in range(0, len(rows), 1 << 15):
-                    some = rows[a : a + (1 << 15)]
-                    n = np.zeros(len(some), np.int64) if known else size[some]
-                    flat = np.repeat(at[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                    group = mix(key[some] + some.astype(_U)) if known else key[some]
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(wins[flat].view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(doc[some]), pa.array(start[some] << 8 | size[some]), lists], ["key", "doc", "block", "wins"])
+            for a in range(0, int(new.sum()), 1 << 15):
+                some = order[new][a : a + (1 << 15)]
+                n = size[some]
+                flat = np.repeat(at[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(wins[flat].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(doc[some]), pa.array(start[some]), pa.array(n), lists], ["key", "doc", "start", "size", "wins"])
+            late = order[~new & ~tie]
+            d, s, n = _runs(doc[late], start[late], size[late])
+            if len(d):
+                lists = pa.ListArray.from_arrays(pa.array(np.zeros(len(d) + 1), pa.int32()), pa.array(np.zeros(0, np.int64)))
+                anywhere = mix(d.view(_U) * _U(3) + s.astype(_U)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(anywhere), pa.array(d), pa.array(s), pa.array(n), lists], ["key", "doc", "start", "size", "wins"])
 
     return run
 
 
+def _runs(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, size) with ranges that follow on each other in a document as one."""
+    if not len(doc):
+        return doc, start, size
+    order = np.lexsort((start, doc))
+    doc, start, size = doc[order], start[order], size[order]
+    cuts = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] != (start + size)[:-1]))))
+    return doc[cuts], start[cuts], np.add.reduceat(size, cuts)
+
+
 def _earlier(batches):
-    """(doc, start, mask): bit j of the mask tells that window start + j stands earlier as well."""
+    """(doc, start, size): ranges of windows that stand earlier as well."""
     held = []
     for batch in batches:
-        lists = batch.column(3)
-        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()))
+        lists = batch.column(4)
+        held.append((*(batch.column(k).to_numpy() for k in range(4)), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()))
     if not held:
         return
-    key, doc, block, sent, wins = (np.concatenate(x) for x in zip(*held, strict=True))
-    start, size = block >> 8, block & 255
-    mask = np.where(sent == 0, (np.int64(1) << size) - 1, 0)
+    key, doc, start, size, sent, wins = (np.concatenate(x) for x in zip(*held, strict=True))
+    found = [(doc[sent == 0], start[sent == 0], size[sent == 0])]
     at = np.cumsum(sent) - sent
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
@@ -193,37 +205,36 @@ def _earlier(batches):
         n = sent[rows]
         row = np.repeat(rows, n)
         step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        win, place = wins[at[row] + step], start[row] + step
-        order = np.lexsort((place, doc[row], win))
-        win, d, p = win[order], doc[row][order], place[order]
+        win, d, p = wins[at[row] + step], doc[row], start[row] + step
+        order = np.lexsort((p, d, win))
+        win, d, p = win[order], d[order], p[order]
         lead = np.concatenate(([True], win[1:] != win[:-1]))
         first = np.maximum.accumulate(np.where(lead, np.arange(len(win)), 0))
         late = (d != d[first]) | (p != p[first])
-        np.bitwise_or.at(mask, row[order][late], np.int64(1) << step[order][late])
-    chosen = mask != 0
-    yield pa.RecordBatch.from_arrays([pa.array(doc[chosen]), pa.array(start[chosen]), pa.array(mask[chosen])], ["doc", "start", "mask"])
+        found.append((d[late], p[late], np.ones(int(late.sum()), np.int64)))
+    d, s, n = _runs(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(n)], ["doc", "start", "size"])
 
 
 def repeated_windows(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc, start, mask) of all windows of `docs` (doc_id, text) that stand earlier too; masks of a block's windows from its start on."""
-    if not 0 < anchor <= window or window - anchor > 60:
-        raise ValueError("0 < anchor <= window <= anchor + 60 is needed")
+    """(doc, start, size): ranges of windows of `docs` (doc_id, text) that stand earlier too; a document may have several that touch."""
+    if not 0 < anchor <= window or window - anchor > 200:
+        raise ValueError("0 < anchor <= window <= anchor + 200 is needed")
     docs = docs.where("doc_id is not null")
     found = docs.mapInArrow(_anchors(window, anchor), "key long, doc long, block long").repartition("key").mapInArrow(_repeated, "doc long, block long")
     wanted = found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("block").alias("blocks"))
     texts = docs.join(wanted, "doc_id").select("doc_id", "text", "blocks")
-    rows = texts.mapInArrow(_block_rows(window, anchor), "key long, doc long, block long, wins array<long>")
-    return rows.repartition("key").mapInArrow(_earlier, "doc long, start long, mask long")
+    rows = texts.mapInArrow(_block_rows(window, anchor), "key long, doc long, start long, size long, wins array<long>")
+    return rows.repartition("key").mapInArrow(_earlier, "doc long, start long, size long")
 
 
-def covered_words(count: int, starts: np.ndarray, masks: np.ndarray, window: int) -> np.ndarray:
-    """Which of `count` words a repeated window covers."""
+def covered_words(count: int, starts: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
+    """Which of `count` words the repeated windows from starts[k] to starts[k] + sizes[k] - 1 cover."""
     edge = np.zeros(count + 1, np.int64)
-    row, bit = np.nonzero(masks[:, None] >> np.arange(61) & 1)
-    at = starts[row] + bit
-    at = at[at + window <= count]
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + window, -1)
+    sizes = np.minimum(sizes, count - window + 1 - starts)  # rows of one doc_id may differ
+    starts, sizes = starts[sizes > 0], sizes[sizes > 0]
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + sizes + window - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -243,7 +254,7 @@ def _kept(window: int):
                 counts.append(len(words))
                 spans = []
                 if blocks_:
-                    gone = covered_words(len(words), np.array([x["start"] for x in blocks_]), np.array([x["mask"] for x in blocks_]), window)
+                    gone = covered_words(len(words), np.array([x["start"] for x in blocks_]), np.array([x["size"] for x in blocks_]), window)
                     edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
                     spans = [{"start": x, "end": y} for x, y in edges.reshape(-1, 2).tolist()]
                     words = [x for x, y in zip(words, gone.tolist(), strict=True) if not y]
@@ -266,7 +277,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = repeated_windows(docs, window=window, anchor=anchor)
-    found = found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "mask")).alias("windows"))
+    found = found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "size")).alias("windows"))
     return docs.join(found, "doc_id", "left").select("doc_id", "text", "windows").mapInArrow(_kept(window), _KEPT)
 
 
