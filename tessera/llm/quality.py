@@ -166,31 +166,34 @@ def _raw(fourier: Fourier, weights: np.ndarray):
     return run
 
 
-def _final(fourier: Fourier, weights: np.ndarray, knots: np.ndarray, values: np.ndarray):
+class Model:
+    """Fitted scores: features, weights and the calibration curve; without a fit every score is one half."""
+
+    def __init__(self, fourier: Fourier | None = None, weights: np.ndarray | None = None, knots: np.ndarray | None = None, values: np.ndarray | None = None):
+        self.fourier, self.weights, self.knots, self.values = fourier, weights, knots, values
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return np.full(len(x), 0.5) if self.fourier is None else np.interp(self.fourier(x) @ self.weights, self.knots, self.values)
+
+
+def _final(model: Model):
     def run(frames):
         for frame in frames:
             if len(frame):
-                yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "score": np.interp(fourier(np.stack(frame["x"].to_list())) @ weights, knots, values)})
+                yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "score": model(np.stack(frame["x"].to_list()))})
 
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, *, label: str = "quality", features: int = FEATURES, width: float = WIDTH, ridge: float = RIDGE, seed: int = SEED, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, score) for each row of `docs` (doc_id, text, ...): the probability of label 1.
-
-    `labels` has (doc_id, label); rows with nulls are left out, and of more than about `fit_rows` labelled
-    documents those with the smallest hashes of doc_id are taken.  Null and empty texts have
-    statistics of 0 and get the score of that point.  Without any label all scores are 0.5.  Rows
-    may repeat and doc_id may be null; other columns are ignored.
-    """
-    measured = cut(document_statistics(docs))
+def fit(measured: DataFrame, labels: DataFrame, *, label: str = "quality", features: int = FEATURES, width: float = WIDTH, ridge: float = RIDGE, seed: int = SEED, fit_rows: int = FIT_ROWS) -> Model:
+    """The model of the labels (doc_id, label) over document_statistics()."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("label")).where("doc_id is not null and label is not null")
     fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).cast("int")
     fitted = cut(bounded(measured.join(known, "doc_id"), fit_rows).select("x", "label", fold.alias("fold")))
     size = len(STATISTICS)
     moments = fitted.select(*(F.avg(F.get("x", F.lit(k))).alias(f"m{k}") for k in range(size)), *(F.stddev_pop(F.get("x", F.lit(k))).alias(f"d{k}") for k in range(size))).first()
     if moments[0] is None:
-        return measured.select("doc_id", F.lit(0.5).alias("score"))
+        return Model()
     fourier = Fourier(np.array(moments[:size]), np.array(moments[size:]), features, width, seed)
     summed = fitted.mapInPandas(_summed(fourier), "fold int, row int, sums array<double>").groupBy("fold", "row").applyInPandas(_added, "fold int, row int, sums array<double>")
     whole = np.zeros((2, features + 2, features + 2))
@@ -198,4 +201,30 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, label: str = "quality"
         whole[part["fold"], part["row"]] = part["sums"]
     one = [_solved(x, ridge) for x in (whole[1], whole[0])]  # a fold's rows are scored by the other fold's model
     knots, values = calibrated(fitted.mapInPandas(_raw(fourier, np.stack(one)), "raw double, label double"), -1.0, 2.0)
-    return measured.mapInPandas(_final(fourier, _solved(whole.sum(axis=0), ridge), knots, values), "doc_id long, score double")
+    return Model(fourier, _solved(whole.sum(axis=0), ridge), knots, values)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """(doc_id, score) for each row of `docs` (doc_id, text, ...): the probability of label 1.
+
+    `labels` has (doc_id, label); rows with nulls are left out, and of more than about `fit_rows` labelled
+    documents those with the smallest hashes of doc_id are taken.  Null and empty texts have
+    statistics of 0 and get the score of that point.  Without any label all scores are 0.5.  Rows
+    may repeat and doc_id may be null; other columns are ignored.  Options: see fit().
+    """
+    measured = cut(document_statistics(docs))
+    return measured.mapInPandas(_final(fit(measured, labels, **options)), "doc_id long, score double")
+
+
+def _good(model: Model, least: float):
+    def run(batches):
+        for batch in batches:
+            scores = model(statistics(*column_bytes(batch.column(batch.schema.get_field_index("text")))))
+            yield batch.filter(pa.array(scores >= least))
+
+    return run
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
+    """The rows of `docs`, all columns as they were, that score `least` or more.  No text is shuffled."""
+    return docs.mapInArrow(_good(fit(cut(document_statistics(docs)), labels, **options), least), docs.schema)
