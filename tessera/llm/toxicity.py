@@ -225,7 +225,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, label: str = "toxic",
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("label")).where("doc_id is not null and label is not null")
     known = cut(bounded(known, fit_rows))
-    graded = cut(docs.mapInArrow(_graded(*learned(docs.join(known, "doc_id"))), "doc_id long, total double, heaviest double, length double, clauses long"))
+    # At most about fit_rows rows of two numbers: small enough to send to all tasks, and no text moves.
+    graded = cut(docs.mapInArrow(_graded(*learned(docs.join(F.broadcast(known), "doc_id"))), "doc_id long, total double, heaviest double, length double, clauses long"))
     fitted = cut(graded.join(known, "doc_id").select(*INPUTS, "label"))
     weights = fit_logistic(fitted)
     knots, values = calibrated(fitted.select(_linear(weights).alias("raw"), "label"), -TOP, TOP)
