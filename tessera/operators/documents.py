@@ -84,6 +84,14 @@ def reuse_embeddings(new: DataFrame, old: DataFrame, *, keys: Sequence[str] = ("
     return new.drop("embedding").join(known, list(keys), "left").withColumn("embedding", kept).drop("old_chunk", "old_embedding")
 
 
+def _marked(name: str):
+    return lambda v: F.concat(F.lit(f"{name}::"), v)
+
+
+def _keyed(name: str, kind: str):
+    return lambda e: F.struct(F.concat(F.lit(f"{name}."), e["key"]).alias("key"), e["value"].cast(kind).alias("value"))
+
+
 def flattened(docs: DataFrame, *, short: int = 50) -> DataFrame:
     """(_id, short_strings, string_arrays, bools, ints, floats): fields of any table in maps by kind, as filters.inferred_filter reads them.
 
@@ -107,10 +115,10 @@ def flattened(docs: DataFrame, *, short: int = 50) -> DataFrame:
         elif isinstance(kind, T.NumericType):
             places["floats"].append(entry(x.name, column, column.isNotNull(), "double"))
         elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
-            arrays.append(F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda v, name=x.name: F.concat(F.lit(f"{name}::"), v)))
+            arrays.append(F.transform(F.coalesce(column, F.array().cast("array<string>")), _marked(x.name)))
         elif isinstance(kind, T.MapType) and isinstance(kind.valueType, T.NumericType):
             place, of = ("ints", "bigint") if isinstance(kind.valueType, T.IntegralType) else ("floats", "double")
-            maps[place].append(F.transform(F.map_entries(F.coalesce(column, F.create_map().cast(kind))), lambda e, name=x.name, of=of: F.struct(F.concat(F.lit(f"{name}."), e["key"]).alias("key"), e["value"].cast(of).alias("value"))))
+            maps[place].append(F.transform(F.map_entries(F.coalesce(column, F.create_map().cast(kind))), _keyed(x.name, of)))
         else:
             raise ValueError(f"{x.name} has a kind that documents can't have")
     out = []

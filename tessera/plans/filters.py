@@ -4,7 +4,8 @@
 
 AND, OR and NOT are in capitals; a backslash takes the next character as it is; `*` leaves a range
 open.  NOT binds closest, then AND, then OR.  A document without a field does not match a term of it and
-does match the term's negation: every term is made true or false before terms are combined.
+does match the term's negation: what NOT stands before is made true or false.  Elsewhere null is left to
+`where`, which takes it as false, so that comparisons reach the scan.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def read_filter(text: str, term: Callable[[str, str, object], Column]) -> Column
         nonlocal at
         if keyword() == "NOT":
             at = _KEYWORD.match(text, at).end()
-            return ~one()
+            return ~F.coalesce(one(), F.lit(False))
         rest = text[at:].lstrip()
         if rest.startswith("("):
             at = len(text) - len(rest) + 1
@@ -105,10 +106,6 @@ def read_filter(text: str, term: Callable[[str, str, object], Column]) -> Column
     return out
 
 
-def sure(test: Column) -> Column:
-    return F.coalesce(test, F.lit(False))
-
-
 def _number(value: str, whole: bool) -> int | float | None:
     try:
         return int(value) if whole else float(value)
@@ -119,17 +116,17 @@ def _number(value: str, whole: bool) -> int | float | None:
 def _equal(column: Column, kind: T.DataType, value: str, name: str) -> Column:
     if isinstance(kind, T.ArrayType):
         item = value if isinstance(kind.elementType, T.StringType) else _number(value, isinstance(kind.elementType, T.IntegralType))
-        return F.lit(False) if item is None else sure(F.array_contains(column, F.lit(item).cast(kind.elementType)))
+        return F.lit(False) if item is None else F.array_contains(column, F.lit(item).cast(kind.elementType))
     if isinstance(kind, T.BooleanType):
         if value.lower() not in ("true", "false"):
             raise FilterError(f"{name} is true or false")
-        return sure(column == F.lit(value.lower() == "true"))
+        return column == F.lit(value.lower() == "true")
     if isinstance(kind, T.NumericType):
         number = _number(value, isinstance(kind, T.IntegralType))
         if number is None:
             raise FilterError(f"{name} is a number")
-        return sure(column == F.lit(number).cast(kind))
-    return sure(column == F.lit(value))
+        return column == F.lit(number).cast(kind)
+    return column == F.lit(value)
 
 
 def structured_filter(frame: DataFrame, text: str, *, filterable: set[str] | None = None) -> Column:
@@ -146,7 +143,7 @@ def structured_filter(frame: DataFrame, text: str, *, filterable: set[str] | Non
             if not isinstance(of, T.NumericType):
                 raise FilterError(f"a range needs a number; {name} is none")
             low, high = value
-            return sure(reduce(lambda a, b: a & b, [*([column >= F.lit(low)] if low is not None else []), *([column <= F.lit(high)] if high is not None else [])]))
+            return reduce(lambda a, b: a & b, [*([column >= F.lit(low)] if low is not None else []), *([column <= F.lit(high)] if high is not None else [])])
         item = of.elementType if isinstance(of, T.ArrayType) else of
         if not isinstance(item, T.StringType | T.IntegralType):
             raise FilterError(f"IN needs text or whole numbers; {name} is neither")
@@ -154,8 +151,8 @@ def structured_filter(frame: DataFrame, text: str, *, filterable: set[str] | Non
         if None in values:
             raise FilterError(f"IN needs whole numbers for {name}")
         if isinstance(of, T.ArrayType):
-            return sure(F.arrays_overlap(column, F.array(*(F.lit(x).cast(item) for x in values))))
-        return sure(column.isin(*values))
+            return F.arrays_overlap(column, F.array(*(F.lit(x).cast(item) for x in values)))
+        return column.isin(*values)
 
     return read_filter(text, term)
 
@@ -175,16 +172,16 @@ def inferred_filter(text: str, *, short_strings: str = "short_strings", string_a
             for place in (ints, floats):
                 low, high = value
                 x = found(place, name)
-                tests.append(sure(reduce(lambda a, b: a & b, [*([x >= F.lit(low)] if low is not None else []), *([x <= F.lit(high)] if high is not None else [])])))
+                tests.append(reduce(lambda a, b: a & b, [*([x >= F.lit(low)] if low is not None else []), *([x <= F.lit(high)] if high is not None else [])]))
             return tests[0] | tests[1]
         if name == "_id":
-            return sure(F.col("_id") == F.lit(value))
-        tests = [sure(found(short_strings, name) == F.lit(value)), sure(F.array_contains(F.col(string_arrays), F.lit(f"{name}::{value}")))]
+            return F.col("_id") == F.lit(value)
+        tests = [found(short_strings, name) == F.lit(value), F.array_contains(F.col(string_arrays), F.lit(f"{name}::{value}"))]
         if value.lower() in ("true", "false"):
-            tests.append(sure(found(bools, name) == F.lit(value.lower() == "true")))
+            tests.append(found(bools, name) == F.lit(value.lower() == "true"))
         for place, whole in ((ints, True), (floats, False)):
             if (number := _number(value, whole)) is not None:
-                tests.append(sure(found(place, name) == F.lit(number)))
+                tests.append(found(place, name) == F.lit(number))
         return reduce(lambda a, b: a | b, tests)
 
     return read_filter(text, term)

@@ -577,7 +577,7 @@ def rerank_chunks(spark, folder):
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
 def arrivals_by_window(spark, folder):
-    return arrivals(_table(spark, folder, "events")).select("start", "event_type", "n", F.round("value", 4).alias("value"))
+    return arrivals(_table(spark, folder, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
 @query()

@@ -17,5 +17,6 @@ def stream_into(indexes: Indexes, name: str, batches: DataFrame, checkpoint: str
 
 def arrivals(events: DataFrame, *, time: str = "ts", by: str = "event_type", window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, by, n, value): counts and sums by window, for streams and tables alike."""
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     grouped = events.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), by)
     return grouped.agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), by, "n", "value")
