@@ -124,10 +124,15 @@ def _skip_tag(stream: bytes) -> tuple[int, int | None]:
     return end, told
 
 
+def _frame_length(data: np.ndarray, at: int) -> int:
+    return int(_LENGTH[int(data[at + 1]) << 8 | int(data[at + 2])])
+
+
 def frame_offsets(data: np.ndarray, at: int, end: int) -> tuple[list[int], int]:
     """Offsets of the frames in data[at:end], and how often headers had to be found again.
 
-    A place is a frame if its header is valid and a valid header, or the end, follows its frame.
+    A place is a frame if its header is valid and a valid header, or the end, follows its frame; or if it
+    follows a frame itself and holds no such place.
     """
     window = data[at:end]
     places = np.flatnonzero(window[:-3] == 0xFF) if len(window) > 3 else np.zeros(0, np.int64)
@@ -138,19 +143,18 @@ def frame_offsets(data: np.ndarray, at: int, end: int) -> tuple[list[int], int]:
     after = places + size
     good = (after == len(window)) | ((after < len(window)) & (lengths[np.minimum(after, len(window))] > 0))
     starts = places[good]
-    out, lost, here = [], 0, 0
-    k = 0
+    out, lost, here, k = [], 0, 0, 0
     while k < len(starts):
-        if lengths[here] and (here == starts[k] or good[np.searchsorted(places, here)]):
-            out.append(at + here)
-            here += int(lengths[here])
-            if here >= len(window):
-                break
-            if here == len(window) or lengths[here] and good[np.searchsorted(places, here)]:
-                continue
-        k = int(np.searchsorted(starts, here))
-        if k < len(starts) and starts[k] != here:
-            lost, here = lost + 1, int(starts[k])
+        if starts[k] == here or out and lengths[here] and here + lengths[here] <= starts[k]:
+            k += int(starts[k] == here)
+        else:
+            lost, here, k = lost + 1, int(starts[k]), k + 1
+        out.append(at + here)
+        here += int(lengths[here])
+        while k < len(starts) and starts[k] < here:
+            k += 1
+    if out and here < len(window) and lengths[here] and here + lengths[here] <= len(window):
+        out.append(at + here)
     return out, lost
 
 
@@ -163,8 +167,11 @@ def read_stream(stream: bytes) -> dict:
     """
     data = np.frombuffer(stream, np.uint8)
     at, told = _skip_tag(stream)
-    end = len(stream) - 128 if len(stream) - at >= 128 and stream[-128:-125] == b"TAG" else len(stream)
+    end = len(stream)
     offsets, lost = frame_offsets(data, at, end)
+    if end - at >= 128 and stream[-128:-125] == b"TAG" and not (offsets and offsets[-1] + _frame_length(data, offsets[-1]) == end):
+        end -= 128  # a tag at the end, and not the inside of a last frame
+        offsets, lost = frame_offsets(data, at, end)
     out = {"payload": b"", "told": told, "offsets": offsets, "samples": 0, "hertz": 0, "table_frames": None, "table_bytes": None, "checksums_good": 0, "checksums_bad": 0, "found_again": lost}
     if not offsets:
         return out
