@@ -1,7 +1,5 @@
 import hashlib
 import random
-from collections import defaultdict
-from itertools import combinations
 
 import pytest
 
@@ -10,36 +8,7 @@ from tessera.llm.graph import connected_components
 from tessera.llm.jaccard import jaccard_components, region_keys
 from tessera.llm.queries import op1_ngram_jaccard, op9_substring_dedup
 from tessera.llm.words import words_of
-
-
-def roots(nodes, pairs):
-    above = {x: x for x in nodes}
-
-    def find(x):
-        while above[x] != x:
-            x = above[x]
-        return x
-
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        above[max(a, b)] = min(a, b)
-    return {x: find(x) for x in nodes}
-
-
-def brute_components(rows, n, num):
-    sets = {}
-    for key, text in rows:
-        if key is not None:
-            words = [w.decode().translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in words_of(text)]
-            sets[key] = frozenset(tuple(words[k : k + n]) for k in range(len(words) - n + 1)) if len(words) >= n else frozenset([tuple(words)] if words else [])
-    seen = defaultdict(set)
-    for key, values in sets.items():
-        for x in values:
-            seen[x].add(key)
-    close = {p for keys in seen.values() if len(keys) < 2000 for p in combinations(sorted(keys), 2)}
-    linked = [(a, b) for a, b in close if 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
-    found = roots(sets, linked)
-    return {key: (len(values), found[key]) for key, values in sets.items()}
+from tests_llm_shared import brute_components, roots
 
 
 @pytest.fixture(scope="module")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.llm import ann, mixing, packing, quality, secret_scan, toxicity, urls
 from tessera.llm.calibration import bounded, calibrated, id_remainder, isotonic
 from tessera.llm.queries import OP5_SQL, queries
+from tests_llm_shared import gapless, plain_base, plain_targets
 
 # -- URL filters
 
@@ -36,15 +37,6 @@ def test_url_rules(spark, blocks):
 
 # -- secrets
 
-PLAIN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-
-
-def plain_base(text):
-    spans = [("assign", m.start(), m.end()) for m in PLAIN.finditer(text) if len(m[2]) >= 6]
-    spans += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
-    return spans + [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 24]
-
-
 @pytest.mark.parametrize(
     ("text", "literals"),
     [
@@ -154,16 +146,6 @@ def test_pieces_and_places(spark):
     assert packing.pack_documents(frame.limit(0)).count() == 0
 
 
-def gapless(rows):
-    by = {}
-    for x in rows:
-        by.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
-    for parts in by.values():
-        parts.sort()
-        assert [a for a, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 2048
-    return sum(n for parts in by.values() for _, n in parts)
-
-
 @pytest.mark.parametrize("tasks", [1, 3, 40])
 def test_levels_of_packing(spark, tasks):
     draw = np.random.default_rng(tasks)
@@ -182,19 +164,6 @@ def test_cuts():
 # -- mixing
 
 
-def plain_targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
-    names = sorted((x for x in sizes if x is not None), key=lambda x: [ord(c) for c in x]) + [None] * (None in sizes)
-    weight = {x: weights[k % 3] for k, x in enumerate(names)}
-    stopped, left = {}, share * sum(sizes.values())
-    while True:
-        free = [x for x in names if x not in stopped]
-        level = (left - sum(stopped.values())) / max(sum(weight[x] for x in free), 1e-9)
-        over = [x for x in free if level * weight[x] > most * sizes[x]]
-        if not over:
-            return {x: stopped.get(x, level * weight[x]) for x in names}
-        stopped |= {x: most * sizes[x] for x in over}
-
-
 @pytest.mark.parametrize("sizes", [{"a": 100}, {"a": 10, "b": 1000, "c": 5, "d": 300}, {"a": 1, "b": 1, "c": 1, "é": 7, "Z": 900, None: 40}, {"a": 0, "b": 10}])
 def test_targets(spark, sizes):
     frame = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size long")
