@@ -43,12 +43,16 @@ def ranked(rows: DataFrame, *, score: str = "_score", key: str = "_id", name: st
     return rows.withColumn(name, F.row_number().over(Window.orderBy(F.desc(score), F.asc(key))))
 
 
-def tensor_scores(chunks: DataFrame, query: Sequence[float], *, metric: str = "prenormalized-angular", fields: Sequence[str] | None = None) -> DataFrame:
-    """(_id, field, _score, chunk): of each document and field its nearest chunk; equal ones by place."""
+def _scored(chunks: DataFrame, query: Sequence[float], metric: str, fields: Sequence[str] | None) -> DataFrame:
     if fields is not None:
         chunks = chunks.where(F.col("field").isin(*fields)) if fields else chunks.where(F.lit(False))
     score = V.closeness(metric, V.doubles("embedding"), V.literal(query))
-    scored = chunks.where(F.col("embedding").isNotNull()).select("_id", "field", "chunk_idx", "chunk", score.alias("s"))
+    return chunks.where(F.col("embedding").isNotNull()).select("_id", "field", "chunk_idx", "chunk", score.alias("s"))
+
+
+def tensor_scores(chunks: DataFrame, query: Sequence[float], *, metric: str = "prenormalized-angular", fields: Sequence[str] | None = None) -> DataFrame:
+    """(_id, field, _score, chunk): of each document and field its nearest chunk; equal ones by place."""
+    scored = _scored(chunks, query, metric, fields)
     best = scored.groupBy("_id", "field").agg(F.max(F.struct(F.col("s"), (-F.col("chunk_idx")).alias("at"), "chunk")).alias("best"))
     return best.select("_id", "field", F.col("best.s").alias("_score"), F.col("best.chunk").alias("chunk"))
 
@@ -73,19 +77,24 @@ def tensor_search(
         if docs is None:
             raise ValueError("a filter needs documents")
         chunks = chunks.join(docs.where(where).select("_id"), "_id", "left_semi")
-    scores = tensor_scores(chunks, query, metric=metric, fields=fields)
-    found = nearest_documents(scores)
+    scored = _scored(chunks, query, metric, fields)
+
+    def with_highlights(ids: DataFrame) -> DataFrame:
+        """What was found, with chunks: only scores are shuffled before the limit, chunks after it.  `ids` are a few pages of rows at most."""
+        mine = chunks.join(F.broadcast(ids.select("_id")), "_id", "left_semi")
+        return nearest_documents(tensor_scores(mine, query, metric=metric, fields=fields))
+
     if modifiers is None:
-        cut = page(found, limit, offset)
+        cut = with_highlights(page(scored.groupBy("_id").agg(F.max("s").alias("_score")), limit, offset))
         return cut if docs is None else cut.join(docs, "_id")
     if docs is None:
         raise ValueError("modifiers need documents")
     names = list(fields) if fields is not None else [x[0] for x in chunks.select("field").distinct().collect()]
     if not names:
-        return found.where(F.lit(False)).join(docs, "_id")
-    tops = [scores.where(F.col("field") == x).orderBy(F.desc("_score"), "_id").limit(limit + offset).select("_id") for x in names]
-    wanted = reduce(DataFrame.unionByName, tops).distinct()
-    joined = found.join(wanted, "_id", "left_semi").join(docs, "_id")
+        return nearest_documents(tensor_scores(chunks, query, metric=metric, fields=[])).join(docs, "_id")
+    by_field = [scored.where(F.col("field") == x).groupBy("_id").agg(F.max("s").alias("_score")) for x in names]
+    wanted = reduce(DataFrame.unionByName, [x.orderBy(F.desc("_score"), "_id").limit(limit + offset).select("_id") for x in by_field]).distinct()
+    joined = with_highlights(wanted).join(docs, "_id")
     return page(joined.withColumn("_score", modified(joined, F.col("_score"), modifiers, strict=strict)), limit, offset)
 
 
