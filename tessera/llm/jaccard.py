@@ -7,10 +7,11 @@ documents within the radius r = 1 - t as a recursive metric-space join:
    in a range is a point of that range's own subspace.  Every distinct part is a pivot, and its
    region holds the documents at distance 0 from it there.  A pair within r differs in at
    most delta = floor((1 - t) / t * smaller size) shingles, hence in at most delta ranges, so
-   that among the delta + 1 largest parts of either set they share a region (the same bound that
-   prefix filters use).  g depends on the size class [2^c, 2^(c+1)); the sizes of
-   a linked pair are within a factor t, so a document near a class's lower end is also
-   placed in the class below: the window of the size coordinate.
+   that among the delta + l largest parts of either set they share l regions (the same bound that
+   prefix filters use), with l = 1 + delta / `SPARE`; a document in fewer shared regions than
+   the smallest set that it may be linked with needs can't be linked.  g depends on the size class
+   [2^c, 2^(c+1)); the sizes of a linked pair are within a factor t, so a document near a
+   class's lower end is also placed in the class below: the window of the size coordinate.
 2. *Document pivots.*  A region's smallest document is its pivot, and regions with the same pivot
    merge.  Every member's exact distance to pivots is computed.  Members take the nearest
    pivot as home (Voronoi regions), and go to each other pivot p with
@@ -41,6 +42,8 @@ from tessera.llm.graph import connected_components
 from tessera.llm.words import column_bytes, mix, ngrams, pair, slices, word_hashes, word_spans
 
 _U = np.uint64
+#: Parts that may differ, for each further region that linked documents share.
+SPARE = 16
 #: Members of a region that one task takes.
 REGION_ROWS = 2048
 #: Ranges for each range that may differ.
@@ -73,9 +76,10 @@ def _may_differ(size: int, num: int, den: int) -> int:
 
 
 def _class_tokens(values: np.ndarray, scrambled: np.ndarray, kind: int, num: int, den: int) -> np.ndarray:
-    """The region keys of a set in size class `kind`: its delta + 1 largest parts, ties by hash."""
+    """The region keys of a set in size class `kind`: its delta + l largest parts, ties by hash."""
     most = (2 << kind) - 1
-    take = _may_differ(min(len(values), most), num, den) + 1
+    differ = _may_differ(min(len(values), most), num, den)
+    take = differ + 1 + differ // SPARE
     ranges = int(RANGES * (_may_differ(most, num, den) + 1))
     where = (values >> _U(32)) * _U(ranges) >> _U(32)
     cuts = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
@@ -104,25 +108,53 @@ def _signed(values) -> pa.Array:
     return pa.array(np.asarray(values, _U).view(np.int64))
 
 
-def _signatures(n: int, num: int, den: int):
+def _signatures(n: int):
     def run(batches):
         for batch in batches:
-            data, offsets = column_bytes(batch.column(1))
-            sizes, one, two, keys = [], [], [], []
-            for values in shingle_sets(data, offsets, n):
+            sizes, one, two = [], [], []
+            for values in shingle_sets(*column_bytes(batch.column(1)), n):
                 sizes.append(len(values))
                 one.append(int(np.add.reduce(mix(values + _U(1)))))
                 two.append(int(np.add.reduce(mix(values + _U(2)))))
-                keys.append(region_keys(values, num, den))
-            lengths = np.cumsum([0, *map(len, keys)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), _signed(one), _signed(two), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), _signed(np.concatenate([*keys, np.zeros(0, _U)])))],
-                ["doc_id", "n_shingles", "h1", "h2", "keys"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), _signed(one), _signed(two)], ["doc_id", "n_shingles", "h1", "h2"])
+
+    return run
+
+
+def _region_keys(n: int, num: int, den: int):
+    """(key, doc, kind) of a batch of documents: 0 for a key of one of them, 1 for the first document of a key of several, 2 for the others."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [region_keys(values, num, den) for values in shingle_sets(*column_bytes(batch.column(1)), n)]
+            keys = np.concatenate([*sets, np.zeros(0, _U)])
+            docs = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+            order = np.argsort(keys, kind="stable")
+            keys, docs = keys[order], docs[order]
+            again = np.concatenate(([False], keys[1:] == keys[:-1]))[: len(keys)]
+            kind = np.where(again, 2, np.concatenate((again[1:], [False]))[: len(keys)]).astype(np.int8)
+            for a in range(0, len(keys), 1 << 16):
+                some = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays([_signed(keys[some]), pa.array(docs[some]), pa.array(kind[some])], ["key", "doc", "kind"])
 
     return run
 
 
+def _shared_keys(batches):
+    """(key, doc) of the rows of a partition whose key stands in several rows, or stood so in its batch."""
+    held = [[batch.column(k).to_numpy() for k in range(3)] for batch in batches]
+    if not held:
+        return
+    key, doc, kind = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(key)
+    key, doc, kind = key[order], doc[order], kind[order]
+    same = key[1:] == key[:-1]
+    chosen = kind > 0
+    chosen[1:] |= same
+    chosen[:-1] |= same
+    yield pa.RecordBatch.from_arrays([pa.array(key[chosen]), pa.array(doc[chosen])], ["key", "doc"])
+
+
 def _member_sets(n: int):
     def run(batches):
         for batch in batches:
@@ -295,15 +327,21 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
     if not 0 < num <= den:
         raise ValueError("0 < num <= den is needed")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(docs.mapInArrow(_signatures(n, num, den), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"))
+    signed = cut(docs.mapInArrow(_signatures(n), "doc_id long, n_shingles long, h1 long, h2 long"))
     known = signed.where("doc_id is not null and n_shingles > 0")
     copies = cut(known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("head"), F.count("*").alias("rows")))
-    keyed = known.select("doc_id", F.explode("keys").alias("key"))
-    regions = keyed.groupBy("key").agg(F.min("doc_id").alias("region"), F.max("doc_id").alias("last")).where("region < last").select("key", "region")
-    members = keyed.join(regions.hint("shuffle_hash"), "key").select("region", F.col("doc_id").alias("doc")).distinct()
+    keyed = docs.where("doc_id is not null").mapInArrow(_region_keys(n, num, den), "key long, doc long, kind byte")
+    # A batch sends one row of a key to the key's partition; its further rows are sure of company and go anywhere.
+    hits = keyed.repartition(F.when(F.col("kind") == 2, F.xxhash64("key", "doc")).otherwise(F.col("key"))).mapInArrow(_shared_keys, "key long, doc long")
     heads = known.select("doc_id", "h1", "h2", "n_shingles").join(copies.where("rows > 1"), ["h1", "h2", "n_shingles"]).where("doc_id <> head").select(F.col("doc_id").alias("doc"), "head")
-    as_heads = lambda frame, name: frame.join(heads.select(F.col("doc").alias(name), "head"), name, "left").withColumn(name, F.coalesce("head", name)).drop("head")
-    members = cut(as_heads(as_heads(members, "region"), "doc").distinct().transform(_shared_regions))
+    hits = hits.join(heads, "doc", "left").select("key", F.coalesce("head", "doc").alias("doc")).distinct()
+    hits = cut(_shared_regions(hits, "key"))
+    partner = F.ceil(F.col("n_shingles") * num / den)
+    needed = 1 + F.floor(F.floor(partner * (den - num) / num) / SPARE)
+    often = hits.groupBy("doc").agg(F.count("*").alias("regions")).join(copies.select(F.col("head").alias("doc"), "n_shingles"), "doc").where(F.col("regions") >= needed)
+    hits = hits.join(often.select("doc"), "doc", "left_semi")
+    pivots = hits.groupBy("key").agg(F.min("doc").alias("region"))
+    members = cut(_shared_regions(hits.join(pivots, "key").select("region", "doc").distinct(), "region"))
     links, rows = None, region_rows
     while not members.isEmpty():
         joined = cut(_round(docs, members, n, num, den, rows))
@@ -325,6 +363,6 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
     return rows_of.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def _shared_regions(members: DataFrame) -> DataFrame:
+def _shared_regions(members: DataFrame, region: str) -> DataFrame:
     """Without regions of one member."""
-    return members.join(members.groupBy("region").count().where("count > 1").select("region"), "region", "left_semi")
+    return members.join(members.groupBy(region).count().where("count > 1").select(region), region, "left_semi")
