@@ -20,6 +20,21 @@ def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, folder, "documents"), n=3, num=90, den=100)
 
 
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+OP1_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS n, count(*) AS same FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * same >= 90 * (n - same)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.b, r.other FROM r JOIN e ON e.a = r.doc_id)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, c.component_id FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = s.doc_id
+"""
+
+
 def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Learns from labels of rows whose crc32 remainder by 3 is not 1."""
     held_out = id_remainder(F.col("doc_id"), 3) == 1
@@ -81,6 +96,17 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.digests(substrings.remove_repeats(_table(spark, folder, "documents"), window=20))
 
 
+OP9_SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+g AS (SELECT doc_id, p, array_to_string(w[p : p + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM w)),
+late AS (SELECT doc_id, p FROM g QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, p) > 1),
+gone AS (SELECT DISTINCT doc_id, p + k AS p FROM late, range(20) AS r(k)),
+t AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM w),
+k AS (SELECT doc_id, count(*) FILTER (gone.p IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (gone.p IS NULL) AS kept FROM t LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Learns from labels of rows whose crc32 remainder by 5 is not 0."""
     held_out = id_remainder(F.col("doc_id"), 5) == 0
@@ -93,4 +119,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op5_url_filter": OP5_SQL, "op9_substring_dedup": OP9_SQL}

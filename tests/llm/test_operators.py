@@ -10,15 +10,21 @@ from pyspark.sql import functions as F
 
 from tessera.llm import ann, mixing, packing, quality, secret_scan, toxicity, urls
 from tessera.llm.calibration import bounded, calibrated, id_remainder, isotonic
-from tessera.llm.queries import OP5_SQL, queries
+from tessera.llm.queries import oracle_sql, queries
 from tests_llm_shared import gapless, plain_base, plain_targets
 
 # -- URL filters
 
 
-def test_url_query_gives_its_sql(spark, tables):
-    wanted = duckdb.sql(OP5_SQL.replace("FROM pages", f"FROM '{tables}/pages.parquet'")).fetchall()
-    assert Counter(map(tuple, queries()["op5_url_filter"](spark, tables).collect())) == Counter(wanted)
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_queries_give_their_sql(spark, tables, name):
+    duck = duckdb.connect()
+    for table in ("documents", "pages"):
+        duck.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tables}/{table}.parquet'")
+    wanted = duck.sql(oracle_sql()[name])
+    frame = queries()[name](spark, tables)
+    assert sorted(frame.columns) == sorted(wanted.columns)
+    assert Counter(map(tuple, frame.select(*wanted.columns).collect())) == Counter(wanted.fetchall())
 
 
 @pytest.mark.parametrize("blocks", [1, 7, 1 << 16])
