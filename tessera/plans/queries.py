@@ -15,6 +15,7 @@ from tessera.operators import documents as D
 from tessera.operators import embedding as E
 from tessera.operators import lexical as L
 from tessera.operators import search as S
+from tessera.operators.approximate import approximate_search, projections
 from tessera.operators.recommend import recommend
 from tessera.operators.rerank import rerank
 from tessera.plans.filters import inferred_filter, structured_filter
@@ -124,6 +125,13 @@ def field_max_reduction(spark, folder):
     return best.select("_id", F.round("_score", 6).alias("score"), F.get(F.map_keys(F.get("_highlights", F.lit(0))), F.lit(0)).alias("field"))
 
 
+@query()
+def tensor_topk_approximate(spark, folder):
+    """By random projections; recall is tested."""
+    model, index = projections(_chunks(spark, folder))
+    return _rounded(approximate_search(model, index, _vector(spark, folder, 0), explored=300))
+
+
 @query("SELECT 'none' AS _id, 0.0::DOUBLE AS score WHERE false")
 def tensor_no_fields(spark, folder):
     return _rounded(S.tensor_search(_chunks(spark, folder), _vector(spark, folder, 0), fields=[]))

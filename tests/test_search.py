@@ -126,3 +126,11 @@ def test_rerank(index):
     assert [x["_id"] for x in best] == ["11", "9", "7", "5", "3", "1"] and best[0]["_highlights"] == [{"text": "dogs number 11"}]
     with pytest.raises(ValueError):
         rerank(hits, ["nothing"], query="dogs")
+
+
+def test_approximate_search_finds_most(spark, tables):
+    from tessera.plans import queries
+
+    exact = {x["_id"] for x in queries.QUERIES["tensor_topk_prenormalized_angular"](spark, tables).collect()}
+    near = {x["_id"] for x in queries.QUERIES["tensor_topk_approximate"](spark, tables).collect()}
+    assert len(near) == 10 and len(exact & near) >= 8
