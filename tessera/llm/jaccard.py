@@ -21,8 +21,8 @@ documents within the radius r = 1 - t as a recursive metric-space join:
 3. *Recursion.*  Of each Voronoi region only members farther than r from its pivot, and those
    within r of such a one along the distance to the pivot, go on, with new pivots, until
    none are left.  Where the windows of several pivots hold more than `WIDEST` times the members
-   (all are about as far from each other), one pivot is taken alone: its region is everybody but
-   itself, so that the recursion ends.  Regions of up to `region_rows` members are finished inside a task; larger ones
+   (all are about as far from each other), or few members are left, those are compared in blocks.
+   Regions of up to `region_rows` members are finished inside a task; larger ones
    are dealt over tasks, each of which gets the same pivots.
 
 Equal sets are one node from the start, so that large groups of copies cost one row.
@@ -50,6 +50,10 @@ REGION_ROWS = 2048
 RANGES = 1.5
 #: Pivots at once in regions of more members than this.
 FEW, PIVOTS = 64, 8
+#: Parts of a region in which its members meet its size.
+PARTS = 32
+#: Members and shingles at a time, in comparing what pivots don't part.
+BLOCK = 512
 #: Members of the Voronoi regions with their windows, for each member, up to which they are taken.
 WIDEST = 1.5
 
@@ -230,6 +234,32 @@ class Region:
             inside = (row <= homes + 2 * self.radius + 1e-12) & (members != k)
             yield k, members[inside], row[inside]
 
+    def compare(self, members: np.ndarray) -> None:
+        """Links all members that are near each other: counts of common shingles as products of 0-1 matrices, some rows and shingles at a time."""
+        sizes = self.sizes[members]
+        at = np.cumsum(sizes) - sizes
+        ids = self.ids[np.repeat(self.firsts[members] - at, sizes) + np.arange(int(sizes.sum()))]
+        owner = np.repeat(np.arange(len(members)), sizes)
+        often = np.bincount(ids, minlength=self.width) > 1
+        column = (np.cumsum(often) - 1)[ids]
+        owner, column = owner[often[ids]], column[often[ids]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for lo in range(0, len(members), BLOCK):
+            rows = slice(lo, min(lo + BLOCK, len(members)))
+            both = np.zeros((rows.stop - lo, len(members)), np.float32)
+            for first in range(0, int(often.sum()), BLOCK):
+                a, b = np.searchsorted(column, (first, first + BLOCK))
+                dense = np.zeros((len(members), BLOCK), np.float32)
+                dense[owner[a:b], column[a:b] - first] = 1
+                both += dense[rows] @ dense.T
+            both = both.astype(np.int64)
+            near = self.den * both >= self.num * (sizes[rows, None] + sizes[None] - both)
+            for k in range(rows.stop - lo):
+                others = np.flatnonzero(near[k, : lo + k])
+                if len(others):
+                    self.link(int(members[lo + k]), members[others])
+
     def finish(self) -> list[tuple[int, int]]:
         """Links that join just the members that the region's links join."""
         waiting = [np.arange(len(self.docs))]
@@ -238,13 +268,20 @@ class Region:
             if len(members) < 2 or len({self.find(x) for x in members.tolist()}) == 1:
                 continue
             centre = self.centre(members)
-            parts = list(self.voronoi(members, [centre, *(x for x in members[:: max(1, len(members) // PIVOTS)].tolist() if x != centre)], self.link)) if len(members) > FEW else []
-            if not parts or sum(len(rest) for _, rest, _ in parts) > WIDEST * len(members):
-                parts = list(self.voronoi(members, [centre], self.link))
-            for _, rest, far in parts:
+            several = [x for x in members[:: max(1, len(members) // PIVOTS)].tolist() if x != centre] if len(members) > FEW else []
+            parts = list(self.voronoi(members, [centre, *several], self.link))
+            wide = sum(len(rest) for _, rest, _ in parts) > WIDEST * len(members)
+            for k, rest, far in parts if not wide else parts[:1]:
+                if wide:
+                    rest, far = members[members != k], self.to(k)[0][members[members != k]]
                 beyond = far > self.radius + 1e-12
-                if beyond.any():
-                    waiting.append(rest[far >= far[beyond].min() - self.radius - 1e-9])
+                if not beyond.any():
+                    continue
+                rest = rest[far >= far[beyond].min() - self.radius - 1e-9]
+                if wide or len(rest) <= FEW:
+                    self.compare(rest)
+                else:
+                    waiting.append(rest)
         return [(int(self.docs[k]), int(self.docs[self.find(k)])) for k in range(len(self.docs)) if self.find(k) != k]
 
 
@@ -300,8 +337,11 @@ def _joined(num: int, den: int):
 
 def _round(docs: DataFrame, members: DataFrame, n: int, num: int, den: int, rows: int) -> DataFrame:
     """One level of the recursion over members (region, doc): links (a, b) and members of the next level (parent, region, alone, doc, far)."""
-    sizes = members.groupBy("region").agg(F.count("*").alias("size"), F.min("doc").alias("lead"))
-    dealt = members.join(sizes, "region").withColumn("shares", F.ceil(F.col("size") / rows))
+    # Sizes meet the members in parts of a region: one region may hold a third of all members.
+    part = F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(PARTS))
+    sizes = members.groupBy("region").agg(F.count("*").alias("size"), F.min("doc").alias("lead")).where("size > 1")
+    each = sizes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    dealt = members.withColumn("part", part).join(each, ["region", "part"]).withColumn("shares", F.ceil(F.col("size") / rows))
     sampled = (F.col("doc") == F.col("lead")) | (F.pmod(F.xxhash64("doc", "region"), F.ceil(F.col("size") / PIVOTS)) == 0)
     own = F.pmod(F.xxhash64("doc"), F.col("shares"))
     whole = F.col("shares") == 1
@@ -341,7 +381,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
     often = hits.groupBy("doc").agg(F.count("*").alias("regions")).join(copies.select(F.col("head").alias("doc"), "n_shingles"), "doc").where(F.col("regions") >= needed)
     hits = hits.join(often.select("doc"), "doc", "left_semi")
     pivots = hits.groupBy("key").agg(F.min("doc").alias("region"))
-    members = cut(_shared_regions(hits.join(pivots, "key").select("region", "doc").distinct(), "region"))
+    members = cut(hits.join(pivots, "key").select("region", "doc").distinct())
     links, rows = None, region_rows
     while not members.isEmpty():
         joined = cut(_round(docs, members, n, num, den, rows))
