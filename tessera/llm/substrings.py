@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm.words import column_bytes, mix, ngrams, pair, slices, word_hashes, word_spans
 
 _U = np.uint64
-WINDOW, ANCHOR = 20, 8
+WINDOW, ANCHOR = 20, 5
 _STEP = _U(0x9E3779B97F4A7C15)
 
 
