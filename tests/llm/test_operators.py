@@ -136,7 +136,7 @@ def test_pieces_and_places(spark):
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
-    texts = [(1, None), (None, "abc"), (2, ""), (2, ""), (3, "word " * 9000), (4, "<|endoftext|> déjà vu 😀 \x00 ſ\n\n\t  x"), (5, "ab" * 3000), (6, "'s 't 12345   !!!")]
+    texts = [(1, None), (None, "abc"), (2, ""), (2, ""), (3, "word " * 9000), (4, "<|endoftext|> déjà vu 😀 \x00 ſ\n\n\t  x"), (5, "ab" * 3000), (6, "'s 't 12345   !!!"), (7, "  a\xa0  b\n\n c\u2028 \x1c d  "), (8, " \n "), (9, "日本 \U000323b0 テスト  \t")]
     texts += [(x["doc_id"] + 10, x["text"]) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     frame = spark.createDataFrame([(k, t, -1) for k, t in texts], "doc_id long, text string, item long")
     rows = [x.asDict() for x in packing.pack_documents(frame, with_ids=True).collect()]
