@@ -27,6 +27,8 @@ from tessera.llm.cutting import cut
 LENGTH = 2048
 #: Partitions whose underfull bins merge in one task, and the free tokens of a bin that is done.
 FAN_IN, SLACK = 8, 2
+#: Items that a group of level 0 has on average, at most.
+GROUP_ROWS = 200_000
 END_ID = 0
 
 
@@ -90,7 +92,9 @@ class Encoder:
         return np.frombuffer(data + end.tobytes(), "<u4")
 
 
-_encoder = lru_cache(maxsize=2)(Encoder)
+@lru_cache(maxsize=2)
+def _encoder(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary)
 
 
 def default_vocabulary() -> str:
@@ -178,7 +182,7 @@ def _packed(length: int):
     """One partition's items (item, size, group, id) into bins named (task, number); `up` tells whether the bin goes on."""
 
     def run(frames):
-        held = [x for x in frames if len(x)]
+        held = [x for x in frames if len(x)]  # a few groups that share a partition
         if not held:
             return
         rows = pd.concat(held, ignore_index=True)
@@ -199,12 +203,12 @@ _LEVEL = "item long, bin long, offset long, fill long, up boolean, task long"
 def pack(items: DataFrame, *, length: int = LENGTH, tasks: int | None = None) -> DataFrame:
     """(item, sequence_id, offset) for items (item, size) with sizes from 1 to `length`; items are unique.
 
-    `tasks` is the number of groups of level 0, by default the number of shuffle partitions.
+    `tasks` is the number of groups of level 0, by default the number of shuffle partitions, or
+    as many more as keep groups at `GROUP_ROWS` items.
     """
-    spark = items.sparkSession
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = tasks or max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-items.count() // GROUP_ROWS))
     dealt = items.select("item", "size", F.pmod(F.xxhash64("item"), F.lit(tasks)).alias("task"))
-    level = cut(dealt.repartition("task").mapInPandas(_packed(length), _LEVEL))
+    level = cut(dealt.repartition(tasks, "task").mapInPandas(_packed(length), _LEVEL))
     placed = level.select("item", F.col("bin").alias("sequence_id"), "offset", "up")
     moves = None
     depth = 0
@@ -214,7 +218,7 @@ def pack(items: DataFrame, *, length: int = LENGTH, tasks: int | None = None) ->
         # Bins of one level are told from those of others by the level's part of their number.
         rising = level.where("up").groupBy(F.col("bin").alias("item"), "task").agg(F.max("fill").alias("size"))
         rising = rising.select("item", "size", F.floor(F.col("task") / FAN_IN).alias("task"))
-        level = cut(rising.repartition("task").mapInPandas(_packed(length), _LEVEL).withColumn("bin", F.col("bin") + F.lit(depth << 56)))
+        level = cut(rising.repartition(tasks, "task").mapInPandas(_packed(length), _LEVEL).withColumn("bin", F.col("bin") + F.lit(depth << 56)))
         step = level.select(F.col("item").alias("from"), F.col("bin").alias("to"), F.col("offset").alias("by"))
         if moves is None:
             moves = step
