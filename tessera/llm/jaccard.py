@@ -54,6 +54,8 @@ FEW, PIVOTS = 64, 8
 PARTS = 32
 #: Members and shingles at a time, in comparing what pivots don't part.
 BLOCK = 512
+#: Shingles that a task sends at a time.
+SENT_SHINGLES = 1 << 20
 #: Members of the Voronoi regions with their windows, for each member, up to which they are taken.
 WIDEST = 1.5
 
@@ -160,22 +162,27 @@ def _shared_keys(batches):
 
 
 def _member_sets(n: int):
+    """A document's set once for each of its places, about `SENT_SHINGLES` at a time."""
+
+    def packed(rows: list[tuple], sets: list[np.ndarray]) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), _signed(np.concatenate(sets)))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+        columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, lists], ["doc", "region", "share", "pivot", "whole", "values"])
+
     def run(batches):
         for batch in batches:
-            data, offsets = column_bytes(batch.column(1))
-            rows = {k: [] for k in ("doc", "region", "share", "pivot", "whole")}
-            sets = []
-            for doc, values, places in zip(batch.column(0).to_pylist(), shingle_sets(data, offsets, n), batch.column(2).to_pylist(), strict=True):
+            rows, sets, held = [], [], 0
+            for doc, values, places in zip(batch.column(0).to_pylist(), shingle_sets(*column_bytes(batch.column(1)), n), batch.column(2).to_pylist(), strict=True):
                 for place in places:
-                    rows["doc"].append(doc)
-                    for k in ("region", "share", "pivot", "whole"):
-                        rows[k].append(place[k])
+                    rows.append((doc, place["region"], place["share"], place["pivot"], place["whole"]))
                     sets.append(values)
-            lengths = np.cumsum([0, *map(len, sets)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["doc"], pa.int64()), pa.array(rows["region"], pa.int64()), pa.array(rows["share"], pa.int64()), pa.array(rows["pivot"], pa.bool_()), pa.array(rows["whole"], pa.bool_()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), _signed(np.concatenate([*sets, np.zeros(0, _U)])))],
-                ["doc", "region", "share", "pivot", "whole", "values"],
-            )
+                    held += len(values)
+                    if held >= SENT_SHINGLES:
+                        yield packed(rows, sets)
+                        rows, sets, held = [], [], 0
+            if rows:
+                yield packed(rows, sets)
 
     return run
 
