@@ -130,14 +130,16 @@ class Fourier:
 def _summed(fourier: Fourier):
     def run(frames):
         size = len(fourier.phase) + 2
-        sums = np.zeros((2, size, size))
+        sums, some_rows = np.zeros((2, size, size)), False
         for frame in frames:
             if len(frame):
+                some_rows = True
                 rows = np.hstack((fourier(np.stack(frame["x"].to_list())), frame[["label"]].to_numpy(float)))
                 for fold in (0, 1):
                     some = rows[frame["fold"].to_numpy() == fold]
                     sums[fold] += some.T @ some
-        yield pd.DataFrame({"fold": np.repeat([0, 1], size), "row": np.tile(np.arange(size), 2), "sums": list(sums.reshape(2 * size, size))})
+        if some_rows:
+            yield pd.DataFrame({"fold": np.repeat([0, 1], size), "row": np.tile(np.arange(size), 2), "sums": list(sums.reshape(2 * size, size))})
 
     return run
 
