@@ -24,6 +24,11 @@ documents within the radius r = 1 - t as a recursive metric-space join:
    (all are about as far from each other), or few members are left, those are compared in blocks.
    Regions of up to `region_rows` members are finished inside a task; larger ones
    are dealt over tasks, each of which gets the same pivots.
+4. *Rarest shingles.*  A region that is too large for a task and keeps more than `PARTED` of the members of
+   the one that it comes from is not parted by pivots (many texts that share a line and are otherwise unlike).
+   Its documents meet again where they share one of their rarest shingles, as many as linked sets can't
+   all miss.  What is still too large for a task is compared as pairs of shares, a pair in each task, but for
+   pairs of shares of the largest component that links have made so far.
 
 Equal sets are one node from the start, so that large groups of copies cost one row.
 """
@@ -44,8 +49,10 @@ from tessera.llm.words import column_bytes, mix, ngrams, pair, slices, word_hash
 _U = np.uint64
 #: Parts that may differ, for each further region that linked documents share.
 SPARE = 16
-#: Members of a region that one task takes.
-REGION_ROWS = 2048
+#: Members of a region that one task takes, and their shingles.
+REGION_ROWS, REGION_SHINGLES = 2048, 1 << 23
+#: Part of a region's members up to which a region of it that is too large for a task is parted by pivots again.
+PARTED = 0.5
 #: Ranges for each range that may differ.
 RANGES = 1.5
 #: Pivots at once in regions of more members than this.
@@ -323,42 +330,131 @@ def _joined(num: int, den: int):
             region = Region(docs, [lists[starts[k] : starts[k + 1]] for k in first.tolist()], num, den)
             out: list[tuple] = []
             if table["whole"][0].as_py():
-                out = [(a, b, None, None, None, None, None) for a, b in region.finish()]
+                out = [(a, b, None, None, None, None, None, None) for a, b in region.finish()]
             else:
                 pivots = [int(np.searchsorted(docs, x)) for x in np.unique(table["doc"].to_numpy()[table["pivot"].to_numpy(zero_copy_only=False)])]
                 parent, everybody = table["region"][0].as_py(), np.arange(len(docs))
 
                 def link(k, xs, out=out, docs=docs):
-                    out.extend((int(docs[x]), int(docs[k]), None, None, None, None, None) for x in xs.tolist() if x != k)
+                    out.extend((int(docs[x]), int(docs[k]), None, None, None, None, None, None) for x in xs.tolist() if x != k)
 
                 for alone, ks in ((False, pivots), (True, pivots[:1])):
                     for k, rest, far in region.voronoi(everybody, ks, link):
                         name = int(pair(np.array([parent], np.int64).view(_U) + _U(alone), np.array([docs[k]], np.int64).view(_U)).view(np.int64)[0])
-                        out += [(None, None, parent, name, alone, int(docs[x]), float(d)) for x, d in zip(rest.tolist(), far.tolist(), strict=True)]
+                        out += [(None, None, parent, name, alone, int(docs[x]), int(region.sizes[x]), float(d)) for x, d in zip(rest.tolist(), far.tolist(), strict=True)]
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["a", "b", "parent", "region", "alone", "doc", "far"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["a", "b", "parent", "region", "alone", "doc", "size", "far"])
 
     return run
 
 
+def _shingles(n: int):
+    """(doc, size, shingle) of a batch of documents."""
+
+    def run(batches):
+        for batch in batches:
+            docs, sets, held = [], [], 0
+            for doc, values in zip(batch.column(0).to_pylist(), shingle_sets(*column_bytes(batch.column(1)), n), strict=True):
+                docs.append(doc)
+                sets.append(values)
+                held += len(values)
+                if held >= SENT_SHINGLES:
+                    yield sent(docs, sets)
+                    docs, sets, held = [], [], 0
+            if docs:
+                yield sent(docs, sets)
+
+    def sent(docs: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.array([len(x) for x in sets], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(docs, np.int64), sizes)), pa.array(np.repeat(sizes, sizes)), _signed(np.concatenate(sets))], ["doc", "size", "shingle"])
+
+    return run
+
+
+def _weight(members, shingles, rows: int):
+    """How many tasks' worth these are."""
+    return F.greatest(members / rows, shingles / REGION_SHINGLES)
+
+
+def _part():
+    return F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(PARTS))
+
+
+def _region_sizes(members: DataFrame, rows: int) -> DataFrame:
+    """(region, members, lead, shares) of regions of several members (region, doc, size)."""
+    sizes = members.groupBy("region").agg(F.count("*").alias("members"), F.min("doc").alias("lead"), F.sum("size").alias("shingles")).where("members > 1")
+    return sizes.withColumn("shares", F.ceil(_weight(F.col("members"), F.col("shingles"), rows))).drop("shingles")
+
+
 def _round(docs: DataFrame, members: DataFrame, n: int, num: int, den: int, rows: int) -> DataFrame:
-    """One level of the recursion over members (region, doc): links (a, b) and members of the next level (parent, region, alone, doc, far)."""
+    """One level of the recursion over members (region, doc, size): links (a, b) and members of the next level (parent, region, alone, doc, size, far)."""
     # Sizes meet the members in parts of a region: one region may hold a third of all members.
-    part = F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(PARTS))
-    sizes = members.groupBy("region").agg(F.count("*").alias("size"), F.min("doc").alias("lead")).where("size > 1")
-    each = sizes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
-    dealt = members.withColumn("part", part).join(each, ["region", "part"]).withColumn("shares", F.ceil(F.col("size") / rows))
-    sampled = (F.col("doc") == F.col("lead")) | (F.pmod(F.xxhash64("doc", "region"), F.ceil(F.col("size") / PIVOTS)) == 0)
+    each = _region_sizes(members, rows).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    dealt = members.withColumn("part", _part()).join(each, ["region", "part"])
+    sampled = (F.col("doc") == F.col("lead")) | (F.pmod(F.xxhash64("doc", "region"), F.ceil(F.col("members") / PIVOTS)) == 0)
     own = F.pmod(F.xxhash64("doc"), F.col("shares"))
     whole = F.col("shares") == 1
     places = dealt.withColumn("pivot", ~whole & sampled).select(
         "doc", "region", "pivot", whole.alias("whole"), F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).otherwise(F.array(own))).alias("share")
     )
+    return _compared(docs, places, n, num, den)
+
+
+def _compared(docs: DataFrame, places: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """What _joined() finds in the regions' shares, from places (doc, region, share, pivot, whole)."""
     wanted = places.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("region", "share", "pivot", "whole")).alias("places"))
     texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "places")
     sets = texts.mapInArrow(_member_sets(n), "doc long, region long, share long, pivot boolean, whole boolean, values array<long>")
-    return sets.repartition("region", "share").sortWithinPartitions("region", "share").mapInArrow(_joined(num, den), "a long, b long, parent long, region long, alone boolean, doc long, far double")
+    return sets.repartition("region", "share").sortWithinPartitions("region", "share").mapInArrow(_joined(num, den), "a long, b long, parent long, region long, alone boolean, doc long, size long, far double")
+
+
+def _rarest(docs: DataFrame, unparted: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(region, doc, size): documents of `unparted` (doc) that share one of their rarest shingles.
+
+    Linked sets have at least num / den of either in common, so that they share a shingle among as many of
+    either's first ones, by any one order, as may be missing and one more.
+    """
+    texts = docs.select("doc_id", "text").join(unparted.withColumnRenamed("doc", "doc_id"), "doc_id")
+    dealt = cut(texts.mapInArrow(_shingles(n), "doc long, size long, shingle long").distinct()).withColumn("part", _part())
+    # A shingle of nearly all documents is counted, and meets its count, in parts.
+    each = dealt.groupBy("shingle", "part").agg(F.count("*").alias("rows"))
+    several = each.groupBy("shingle").agg(F.sum("rows").alias("often")).where("often > 1")
+    counted = dealt.join(each.select("shingle", "part").join(several, "shingle"), ["shingle", "part"])
+    # Shingles of one document come first in the order and lead to nobody.
+    sets = counted.groupBy("doc").agg(F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("shingles"))
+    first = F.greatest(F.lit(0), F.size("shingles") + 1 - F.ceil(F.col("size") * num / den)).cast("int")
+    shared = cut(sets.select("doc", "size", F.explode(F.slice("shingles", F.lit(1), first)).alias("x")).select("doc", "size", "x.shingle"))
+    pivots = shared.groupBy("shingle", _part().alias("part")).agg(F.min("doc").alias("low"))
+    lead = pivots.groupBy("shingle").agg(F.min("low").alias("region"))
+    met = shared.withColumn("part", _part()).join(pivots.select("shingle", "part").join(lead, "shingle"), ["shingle", "part"])
+    return met.select("region", "doc", "size").distinct()
+
+
+def _share_pairs(members: DataFrame, components: DataFrame | None, rows: int) -> DataFrame:
+    """(doc, region, share, pivot, whole): places where all members (region, doc, size) of a region meet that links don't join yet.
+
+    Members of a region's largest component have shares of their own, which meet the others' shares only.
+    """
+    known = members.withColumn("component", F.col("doc"))
+    if components is not None:
+        known = members.join(components.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    known = cut(known.withColumn("part", _part()))
+    each = known.groupBy("region", "component").agg(F.count("*").alias("members"), F.sum("size").alias("shingles"))
+    sizes = each.groupBy("region").agg(F.max(F.struct("members", "component", "shingles")).alias("most"), F.sum("members").alias("members"), F.sum("shingles").alias("shingles"), F.count("*").alias("components"))
+    small = _weight(F.col("members"), F.col("shingles"), rows) <= 1
+    others = _weight(F.col("members") - F.col("most.members"), F.col("shingles") - F.col("most.shingles"), rows)
+    one = F.lit(1).cast("long")
+    sizes = sizes.where("components > 1").select(
+        "region", F.col("most.component").alias("largest"), F.when(small, one).otherwise(F.ceil(2 * others)).alias("free"), F.when(small, one).otherwise(F.ceil(2 * _weight(F.col("most.members"), F.col("most.shingles"), rows))).alias("joined")
+    )
+    dealt = known.join(known.select("region", "part").distinct().join(sizes, "region"), ["region", "part"])
+    inside = F.col("component") == F.col("largest")
+    own = F.when(inside, F.col("free") + F.pmod(F.xxhash64("doc"), F.col("joined"))).otherwise(F.pmod(F.xxhash64("doc"), F.col("free")))
+    dealt = dealt.withColumn("own", own).withColumn("all", F.col("free") + F.col("joined"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(inside, F.col("free")).otherwise(F.col("all")) - 1))).where("other <> own")
+    share = F.least("own", "other") * F.col("all") + F.greatest("own", "other")
+    return met.select("doc", "region", share.alias("share"), F.lit(False).alias("pivot"), F.lit(True).alias("whole"))
 
 
 def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, region_rows: int = REGION_ROWS) -> DataFrame:
@@ -386,21 +482,32 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
     partner = F.ceil(F.col("n_shingles") * num / den)
     needed = 1 + F.floor(F.floor(partner * (den - num) / num) / SPARE)
     often = hits.groupBy("doc").agg(F.count("*").alias("regions")).join(copies.select(F.col("head").alias("doc"), "n_shingles"), "doc").where(F.col("regions") >= needed)
-    hits = hits.join(often.select("doc"), "doc", "left_semi")
+    hits = hits.join(often.groupBy("doc").agg(F.max("n_shingles").alias("size")), "doc")
     pivots = hits.groupBy("key").agg(F.min("doc").alias("region"))
-    members = cut(hits.join(pivots, "key").select("region", "doc").distinct())
-    links, rows = None, region_rows
+    members = cut(hits.join(pivots, "key").select("region", "doc", "size").distinct())
+    links, unparted = None, None
     while not members.isEmpty():
-        joined = cut(_round(docs, members, n, num, den, rows))
+        joined = cut(_round(docs, members, n, num, den, region_rows))
         found = joined.where("a is not null").select("a", "b")
         links = found if links is None else links.unionByName(found)
         radius = 1 - num / den
-        onward = joined.where("a is null").select("parent", "region", "alone", "doc", "far")
+        onward = joined.where("a is null").select("parent", "region", "alone", "doc", "size", "far")
         wide = onward.groupBy("parent").agg(F.count_if(~F.col("alone")).alias("several"), F.count_if("alone").alias("one"))
-        onward = onward.join(wide, "parent").where(F.col("alone") == (F.col("several") > WIDEST * F.col("one"))).select("region", "doc", "far")
+        onward = onward.join(wide, "parent").where(F.col("alone") == (F.col("several") > WIDEST * F.col("one"))).select("parent", "region", "doc", "size", "far")
         edge = onward.where(F.col("far") > radius + 1e-12).groupBy("region").agg(F.min("far").alias("edge"))
-        members = cut(onward.join(edge, "region").where(F.col("far") >= F.col("edge") - radius - 1e-9).select("region", "doc").distinct())
-        rows *= 2  # regions that new pivots don't part end in one task after some rounds
+        onward = cut(onward.join(edge, "region").where(F.col("far") >= F.col("edge") - radius - 1e-9).select("parent", "region", "doc", "size").distinct())
+        before = members.groupBy(F.col("region").alias("parent")).agg(F.count("*").alias("before"))
+        parents = onward.groupBy("region").agg(F.min("parent").alias("parent")).join(before, "parent")
+        stuck = cut(_region_sizes(onward, region_rows).where("shares > 1").join(parents, "region").where(F.col("members") > PARTED * F.col("before")).select("region"))
+        members = onward.select("region", "doc", "size")
+        if not stuck.isEmpty():
+            left = members.join(stuck, "region", "left_semi").select("doc")
+            unparted = left if unparted is None else unparted.unionByName(left)
+            members = members.join(stuck, "region", "left_anti")
+    if unparted is not None:
+        met = cut(_rarest(docs, cut(unparted.distinct()), n, num, den))
+        places = _share_pairs(met, connected_components(links), region_rows)
+        links = links.unionByName(cut(_compared(docs, places, n, num, den)).select("a", "b"))
     if links is None:
         labels = copies.withColumn("component", F.col("head"))
     else:

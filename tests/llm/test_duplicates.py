@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from tessera.llm import substrings
+from tessera.llm import jaccard, substrings
 from tessera.llm.graph import connected_components
 from tessera.llm.jaccard import jaccard_components, region_keys
 from tessera.llm.queries import op1_ngram_jaccard, op9_substring_dedup
@@ -66,6 +66,39 @@ def test_linked_sets_share_enough_keys():
                 assert set(region_keys(a, num, 100).tolist()) & set(region_keys(b, num, 100).tolist())
 
 
+def test_regions_that_pivots_do_not_part_stay_bounded(spark, monkeypatch):
+    draw = random.Random(8)
+    line = [f"p{k}" for k in range(16)]
+    rows = [(k, " ".join(line + [f"q{draw.randrange(10**9)}" for _ in range(24)])) for k in range(400)]
+    # linked ones among them: a word less, and a chain
+    rows += [(400 + k, rows[7 * k][1].rsplit(" ", 1)[0]) for k in range(20)]
+    chain = rows[399][1].split()
+    for k in range(30):
+        chain = [*chain[:16], *chain[18:], f"c{k}", f"d{k}"]
+        rows.append((500 + k, " ".join(chain)))
+    # texts of few words, in which the rarest ones are frequent, too
+    rows += [(600 + k, " ".join(line + draw.sample([f"v{x}" for x in range(30)], 10))) for k in range(300)]
+    real = jaccard._joined
+
+    def bounded(num, den):
+        run = real(num, den)
+
+        def checked(batches):
+            from collections import Counter
+
+            held = list(batches)
+            members = Counter(k for x in held for k in zip(x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True))
+            assert max(members.values(), default=0) <= 120, "a task takes too many members of a region"
+            return run(iter(held))
+
+        return checked
+
+    monkeypatch.setattr(jaccard, "_joined", bounded)
+    for n, num in ((1, 80), (2, 80)):
+        found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), n=n, num=num, den=100, region_rows=50).collect()
+        assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in found} == brute_components(rows, n, num)
+
+
 def test_components_of_a_graph(spark):
     draw = random.Random(1)
     edges = [(k, k + 1) for k in range(100, 140)] + [(5, 500 + k) for k in range(60)] + [(draw.randrange(900, 1000), draw.randrange(900, 1000)) for _ in range(60)] + [(7, 7), (None, 3)]
