@@ -110,12 +110,16 @@ def lexical_search(
 
 @dataclass(frozen=True)
 class Hybrid:
-    """How the two arms are put together; what is allowed with what."""
+    """How the two arms are put together, and what each has for itself; what is allowed with what."""
 
     retrieval: str = "disjunction"
     ranking: str = "rrf"
     alpha: float = 0.5
     rrf_k: int = 60
+    tensor_attributes: Sequence[str] | None = None
+    keyword_attributes: Sequence[str] | None = None
+    tensor_modifiers: ScoreModifiers | None = None
+    keyword_modifiers: ScoreModifiers | None = None
 
     def __post_init__(self):
         if self.retrieval not in ("disjunction", "tensor", "lexical") or self.ranking not in ("rrf", "tensor", "lexical"):
@@ -126,6 +130,19 @@ class Hybrid:
             raise ValueError("alpha is from 0 to 1")
         if not isinstance(self.rrf_k, int) or self.rrf_k < 0:
             raise ValueError("rrf_k is a whole number from 0 on")
+        arms = ("tensor", "lexical") if self.retrieval == "disjunction" else (self.retrieval, self.ranking)
+        if self.tensor_attributes is not None and "tensor" not in arms or self.keyword_attributes is not None and "lexical" not in arms:
+            raise ValueError("attributes go with an arm that is in use")
+        if self.tensor_modifiers and self.ranking == "lexical" or self.tensor_modifiers and "tensor" not in arms or self.keyword_modifiers and "lexical" not in arms:
+            raise ValueError("modifiers go with an arm that is in use, those of the tensor arm with its ranking")
+
+
+@dataclass(frozen=True)
+class CustomVector:
+    """A query by a vector; `content` is the text of the keyword arm."""
+
+    vector: Sequence[float]
+    content: str | None = None
 
 
 def reciprocal_ranks(tensor: DataFrame | None, keyword: DataFrame | None, *, alpha: float = 0.5, k: int = 60, limit: int | None = None) -> DataFrame:
@@ -154,7 +171,7 @@ def reciprocal_ranks(tensor: DataFrame | None, keyword: DataFrame | None, *, alp
 
 
 def hybrid_search(
-    docs: DataFrame, chunks: DataFrame, query: str, vector: Sequence[float], *, keyword_fields: Sequence[str], tensor_fields: Sequence[str] | None = None, hybrid: Hybrid | None = None, metric: str = "prenormalized-angular",
+    docs: DataFrame, chunks: DataFrame, query: str | None, vector: Sequence[float], *, keyword_fields: Sequence[str], tensor_fields: Sequence[str] | None = None, hybrid: Hybrid | None = None, metric: str = "prenormalized-angular",
     where: Column | None = None, tensor_modifiers: ScoreModifiers | None = None, keyword_modifiers: ScoreModifiers | None = None, limit: int = 10, offset: int = 0,
 ) -> DataFrame:
     """(_id, _score, _tensor_score, _lexical_score) of one page.
@@ -164,6 +181,10 @@ def hybrid_search(
     """
     hybrid = hybrid or Hybrid()
     check_page(limit, offset)
+    keyword_fields, tensor_fields = hybrid.keyword_attributes or keyword_fields, hybrid.tensor_attributes or tensor_fields
+    keyword_modifiers, tensor_modifiers = keyword_modifiers or hybrid.keyword_modifiers, tensor_modifiers or hybrid.tensor_modifiers
+    if not isinstance(query, str) and (hybrid.retrieval, hybrid.ranking) != ("tensor", "tensor"):
+        raise ValueError("the keyword arm takes a text")
 
     def tensor(limit, offset, modifiers=tensor_modifiers):
         return tensor_search(chunks, vector, docs=docs, metric=metric, fields=tensor_fields, where=where, modifiers=modifiers, limit=limit, offset=offset).select("_id", "_score")
@@ -184,7 +205,7 @@ def hybrid_search(
         rows = docs.join(first, "_id", "left_semi").join(stats_over, "_id", "left").withColumn("_score", F.coalesce("found", F.lit(0.0)))
         rows = rows.withColumn("_score", modified(rows, F.col("_score"), keyword_modifiers))
         return page(rows, limit, offset).select("_id", "_score", none.alias("_tensor_score"), F.col("_score").alias("_lexical_score"))
-    first = keyword(limit + offset, 0, None).select("_id")
+    first = keyword(limit + offset, 0).select("_id")
     near = nearest_documents(tensor_scores(chunks.join(first, "_id", "left_semi"), vector, metric=metric, fields=tensor_fields))
     rows = docs.join(first, "_id", "left_semi").join(near, "_id", "left").withColumn("_score", F.coalesce("_score", F.lit(0.0)))
     rows = rows.withColumn("_score", modified(rows, F.col("_score"), tensor_modifiers))

@@ -18,7 +18,7 @@ from tessera.functions.scoring import ScoreModifiers
 from tessera.operators import documents as D
 from tessera.operators import embedding as E
 from tessera.operators.recommend import recommend
-from tessera.operators.search import Hybrid, hybrid_search, lexical_search, tensor_search
+from tessera.operators.search import CustomVector, Hybrid, hybrid_search, lexical_search, tensor_search
 from tessera.plans.filters import structured_filter
 from tessera.plans.spec import IndexSpec
 
@@ -178,10 +178,14 @@ class Indexes:
         return E.embedded(rows, self.embedders.get(spec.model, E.HashEmbedder(spec.dimensions)), prefix=prefix, normalise=spec.normalize_embeddings).orderBy("pos")
 
     def search(
-        self, name: str, q: str | Mapping[str, float] | None = None, *, method: str = "TENSOR", limit: int = 10, offset: int = 0, filter: str | None = None, searchable_attributes: Sequence[str] | None = None,
+        self, name: str, q: str | Mapping[str, float] | CustomVector | None = None, *, method: str = "TENSOR", limit: int = 10, offset: int = 0, filter: str | None = None, searchable_attributes: Sequence[str] | None = None,
         score_modifiers: ScoreModifiers | None = None, context: Sequence[tuple[Sequence[float], float]] = (), hybrid: Hybrid | None = None, text_query_prefix: str | None = None,
     ) -> DataFrame:
-        """One page of hits by TENSOR, LEXICAL or HYBRID search."""
+        """One page of hits by TENSOR, LEXICAL or HYBRID search.
+
+        Where a keyword arm takes part, `q` is a text or a CustomVector with one as its content.  Without `q`, or with
+        weighted texts, HYBRID search is tensor/tensor only, and without `q` it needs a context.
+        """
         spec, docs = self.settings(name), self.documents(name)
         where = self._where(name, docs, filter)
         if method != "HYBRID" and hybrid is not None:
@@ -190,6 +194,11 @@ class Indexes:
             if not isinstance(q, str) or context:
                 raise ValueError("keyword search takes a text")
             return lexical_search(docs, q, list(searchable_attributes or spec.with_feature("lexical_search")), where=where, modifiers=score_modifiers, limit=limit, offset=offset)
+        text = q if isinstance(q, str) else None
+        if isinstance(q, CustomVector):
+            q, text, context = None, q.content, [*context, (q.vector, 1.0)]
+        if method == "HYBRID" and q is None and not context:
+            raise ValueError("a search without a query needs a context")
         prefix = text_query_prefix if text_query_prefix is not None else spec.query_prefix
         vector = E.embed_query(q, self.embedders.get(spec.model, E.HashEmbedder(spec.dimensions)), context=context, prefix=prefix, normalise=spec.normalize_embeddings)
         if method == "TENSOR":
@@ -199,7 +208,10 @@ class Indexes:
         if method == "HYBRID":
             if score_modifiers or searchable_attributes:
                 raise ValueError("in hybrid search modifiers and attributes belong to the arms")
-            return hybrid_search(docs, self.chunks(name), str(q), vector, keyword_fields=spec.with_feature("lexical_search"), hybrid=hybrid, metric=spec.distance_metric, where=where, limit=limit, offset=offset)
+            known = ((hybrid.tensor_attributes, spec.tensor_fields), (hybrid.keyword_attributes, spec.with_feature("lexical_search"))) if hybrid else ()
+            if unknown := {x for asked, fields in known for x in asked or () if x not in fields}:
+                raise ValueError(f"no fields of the arm: {', '.join(sorted(unknown))}")
+            return hybrid_search(docs, self.chunks(name), text, vector, keyword_fields=spec.with_feature("lexical_search"), hybrid=hybrid, metric=spec.distance_metric, where=where, limit=limit, offset=offset)
         raise ValueError(f"unknown method {method!r}")
 
     def recommend(self, name: str, documents: Sequence[str] | Mapping[str, float], *, limit: int = 10, offset: int = 0, filter: str | None = None, **options) -> DataFrame:

@@ -50,6 +50,41 @@ def test_life_of_an_index(spark, indexes):
         indexes.settings("my-index")
 
 
+def test_hybrid_query_forms_and_arms(spark, indexes):
+    from tessera.functions.scoring import ScoreModifiers
+    from tessera.operators.search import CustomVector
+
+    fields = (*SPEC.fields, Field("note", "text", ("lexical_search",)))
+    indexes.create_index(IndexSpec("my-index", fields, ("title", "note"), mode="structured", dimensions=16))
+    rows = [(0, "a", "red dogs", 1, "quiet None"), (1, "b", "blue cats", 50, "red red"), (2, "c", "red fish", 9, "none")]
+    indexes.add_documents("my-index", spark.createDataFrame(rows, "pos int, _id string, title string, year int, note string"))
+
+    def ids(q, hybrid, **options):
+        return [x["_id"] for x in indexes.search("my-index", q, method="HYBRID", hybrid=hybrid, **options).collect()]
+
+    tensor, keyword, turned = Hybrid("tensor", "tensor"), Hybrid("lexical", "lexical"), Hybrid("lexical", "tensor")
+    vector = indexes.embed("my-index", ["red dogs"]).first()["embedding"]
+    for hybrid in (Hybrid(), keyword, turned, Hybrid("tensor", "lexical")):
+        for q in (None, {"red": 1.0}, CustomVector(vector)):
+            with pytest.raises(ValueError):
+                ids(q, hybrid, context=[(vector, 1.0)])
+    with pytest.raises(ValueError):
+        ids(None, tensor)
+    assert ids(None, tensor, context=[(vector, 1.0)])[0] == ids({"red dogs": 1.0}, tensor)[0] == ids(CustomVector(vector), tensor)[0] == "a"
+    assert ids(CustomVector(vector, "cats"), keyword) == ["b"] and ids(CustomVector(vector, "red"), turned)[0] == "a"
+    assert set(ids("red", Hybrid("lexical", "lexical", keyword_attributes=["title"]))) == {"a", "c"}
+    assert ids("red", Hybrid("lexical", "lexical", keyword_attributes=["note"])) == ["b"]
+    assert ids("red", Hybrid("lexical", "lexical", keyword_modifiers=ScoreModifiers({"year": 100.0})))[0] == "b"
+    assert ids("red", Hybrid("lexical", "tensor", keyword_modifiers=ScoreModifiers({"year": 100.0})), limit=1) == ["b"]
+    assert ids("quiet None", Hybrid("tensor", "tensor", tensor_attributes=["note"]))[0] == "a"
+    assert ids("red dogs", Hybrid("tensor", "tensor", tensor_modifiers=ScoreModifiers(add={"year": 1.0})))[0] == "b"
+    with pytest.raises(ValueError):
+        ids("red", Hybrid(keyword_attributes=["year"]))
+    for method, options in (("tensor", {"keyword_attributes": ["title"]}), ("lexical", {"tensor_attributes": ["title"]}), ("tensor", {"keyword_modifiers": ScoreModifiers({"year": 1.0})}), ("lexical", {"tensor_modifiers": ScoreModifiers({"year": 1.0})})):
+        with pytest.raises(ValueError):
+            Hybrid(method, method, **options)
+
+
 def test_growing_schema(spark, indexes):
     indexes.create_index(IndexSpec("grows", tensor_fields=("text",), dimensions=8))
     indexes.add_documents("grows", spark.createDataFrame([(0, "a", "one")], "pos int, _id string, text string"))
