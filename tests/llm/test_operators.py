@@ -135,8 +135,7 @@ def test_pieces_and_places(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    texts = [(1, None), (None, "abc"), (2, ""), (2, ""), (3, "word " * 9000), (4, "<|endoftext|> déjà vu 😀 \x00 ſ\n\n\t  x"), (5, "ab" * 3000), (6, "'s 't 12345   !!!"), (7, "  a\xa0  b\n\n c\u2028 \x1c d  "), (8, " \n "), (9, "日本 \U000323b0 テスト  \t")]
+    texts = [(1, None), (None, "abc"), (2, ""), (2, ""), (3, "word " * 9000), (4, "<|endoftext|> déjà vu 😀 \x00 ſ\n\n\t  x"), (5, "ab" * 3000), (6, "'s 't 12345   !!!"), (7, "  a\xa0  b\n\n c\u2028 \x1c d  "), (8, " \n "), (9, "日本 \U000323b0 テスト  \t"), (3, "a <|endoftext|> b"), (3, "<|endoftext|>")]
     texts += [(x["doc_id"] + 10, x["text"]) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     frame = spark.createDataFrame([(k, t, -1) for k, t in texts], "doc_id long, text string, item long")
     rows = [x.asDict() for x in packing.pack_documents(frame, with_ids=True).collect()]
@@ -152,6 +151,31 @@ def test_pieces_and_places(spark):
     assert packing.pack_documents(frame.limit(0)).count() == 0
 
 
+def test_remembered_units_are_bounded():
+    """Ids stay those of the library when what is remembered is thrown away again and again."""
+    import pyarrow as pa
+
+    encoder = packing.Encoder(packing.default_vocabulary())
+    draw = np.random.default_rng(0)
+    texts = ["".join(draw.choice(list("abcdeé\n .'7"), 40)) for _ in range(400)] + ["the same words"] * 50
+    kept, packing.KEPT = packing.KEPT, 50
+    try:
+        for a in range(0, len(texts), 30):
+            some = texts[a : a + 30]
+            ids, bounds = encoder.batch(pa.array(some))
+            assert len(encoder.units) <= 50
+            assert [ids[i:j].tolist() for i, j in zip(bounds[:-1], bounds[1:], strict=True)] == [[*encoder.tokenizer.encode(x, add_special_tokens=False).ids, 0] for x in some]
+    finally:
+        packing.KEPT = kept
+
+
+def test_groups_of_bins_stay_bounded(spark):
+    """No level puts more than its share of bins into one task, and it ends where no bins can be joined."""
+    items = spark.range(3000).select(F.col("id").alias("item"), (1100 + F.col("id") % 900).alias("size"))
+    rows = packing.pack(items, length=2048, tasks=8, group_rows=100).collect()
+    assert len(rows) == len({x["sequence_id"] for x in rows}) == 3000
+
+
 @pytest.mark.parametrize("tasks", [1, 3, 40])
 def test_levels_of_packing(spark, tasks):
     draw = np.random.default_rng(tasks)
