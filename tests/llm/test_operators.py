@@ -120,6 +120,52 @@ def test_grammar_of_clauses():
     assert len(toxicity.clause_weights(toxicity.tokens_of("idiot. fine. moron!"), lexicon)) == 2
 
 
+def test_threats_and_targets_on_both_sides():
+    lexicon = toxicity.Lexicon({}, {})
+    weight = lambda text: sum(toxicity.clause_weights(toxicity.tokens_of(text), lexicon))
+    assert weight("I will kill you") > weight("kill it") == 0 and weight("I will kill them all") > 0 and weight("you will die") > 0 and weight("kill. you") == 0
+    assert weight("idiot, you") == weight("you idiot") > weight("an idiot") > 0
+    assert weight("I will not kill you") < weight("I will kill you") and weight("he said: kill you") < weight("I will kill you")
+    assert 0 < weight("idiot\nyou") == weight("idiot") and weight("kill " * 50_000 + "you") > 0
+
+
+def test_toxicity_agrees_with_a_plain_version(spark):
+    """Learning and scoring again with dictionaries and numpy."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    text = {x["doc_id"]: x["text"] for x in docs.collect()}
+    label = {x["doc_id"]: float(x["toxic"]) for x in labels.where("toxic is not null").collect() if x["doc_id"] in text}
+    once = {(text[k] or "", y): k for k, y in sorted(label.items(), reverse=True)}.values()
+    total, seen = Counter(label[k] for k in once), {0.0: Counter(), 1.0: Counter()}
+    for k in once:
+        seen[label[k]].update({x for x in toxicity.tokens_of(text[k]) if len(x) > 1})
+    counts = {(w, True): (seen[1.0][w], seen[0.0][w]) for w in seen[0.0] | seen[1.0]}
+    for (w, whole), (bad, good) in list(counts.items()):
+        for n in range(toxicity.SHORTEST, min(toxicity.LONGEST, len(w) - 1) + 1) if whole else ():
+            old = counts.get((w[:n], False), (0, 0))
+            counts[w[:n], False] = (old[0] + bad, old[1] + good)
+    entries = ({}, {})
+    for (w, whole), (bad, good) in counts.items():
+        least = np.log((bad + 0.5) / (total[1.0] + 1)) - np.log((good + 0.5) / (total[0.0] + 1)) - 1.64 * np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
+        if bad >= toxicity.LEAST_DOCS and least >= toxicity.LEAST_ODDS:
+            entries[not whole][w] = least
+    found = toxicity.learned(toxicity.different_texts(docs.join(labels.select("doc_id", F.col("toxic").cast("double").alias("label")), "doc_id")).join(docs.select("doc_id", "text"), "doc_id"))
+    assert [set(x) for x in found] == [set(x) for x in entries] and all(abs(found[k][w] - v) < 1e-9 for k in (0, 1) for w, v in entries[k].items())
+    inputs = {}
+    for k, x in text.items():
+        weights = toxicity.clause_weights(toxicity.tokens_of(x), toxicity.Lexicon(*entries))
+        inputs[k] = [1.0, np.log1p(sum(weights)), np.log1p(max(weights, default=0.0)), np.log1p(len(toxicity.tokens_of(x)))]
+    x, y, w = np.array([inputs[k] for k in label]), np.array(list(label.values())), np.zeros(4)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w + np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + toxicity.RIDGE * np.eye(4), x.T @ (y - p) - toxicity.RIDGE * w)
+    rows = toxicity.toxicity_scores(docs, labels).collect()
+    raw = {k: float(np.array(v) @ w) for k, v in inputs.items()}
+    order = sorted(rows, key=lambda r: raw[r["doc_id"]])
+    assert len(rows) == len(text) and all(a["score"] <= b["score"] + 1e-6 for a, b in zip(order, order[1:], strict=False))
+    assert all(abs(r["score"] - s["score"]) < 1e-6 for r in rows for s in rows if raw[r["doc_id"]] == raw[s["doc_id"]])
+
+
 def test_bounded_sample_and_curve(spark):
     frame = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") / 20_000).alias("raw"), (F.col("id") > 12_000).cast("double").alias("label"))
     assert bounded(frame, 50_000).count() == 20_000 and 800 < bounded(frame, 1000).count() < 1200
