@@ -54,6 +54,36 @@ def test_literals_flow_to_names(text, literals):
     assert [text[a:b] for kind, a, b in secret_scan.spans_of(text) if kind == "literal"] == literals
 
 
+@pytest.mark.parametrize(
+    ("text", "literals"),
+    [
+        ("<password>Zx9qLm22pQ7s</password>", ["Zx9qLm22pQ7s"]), ("<password>Zx9qLm22pQ7s</pass>", []), ("client_secret: >\n  Zx9qLm22pQ7s\nnext: 1", ["Zx9qLm22pQ7s"]), ("a:\n  pwd: |\n    Zx9qLm22pQ7s\n  b: Yx9qLm22pQ7s", ["Zx9qLm22pQ7s"]),
+        ('db_password = """Zx9qLm22pQ7s"""', ["Zx9qLm22pQ7s"]), ("run --password Zx9qLm22pQ7s now", ["Zx9qLm22pQ7s"]), ("run --pass-file /etc/Zx9qLm22pQ7s", []), ('user.setPassword("Zx9qLm22pQ7s")', ["Zx9qLm22pQ7s"]), ('api_secret = os.getenv("X", "Zx9qLm22pQ7s")', ["Zx9qLm22pQ7s"]),
+        ('pwd = os.environ.get("A") or "Zx9qLm22pQ7s"', ["Zx9qLm22pQ7s"]), ('pwd: str = "Zx9qLm22pQ7s!"', ["Zx9qLm22pQ7s!"]), ('props.put("db.pwd", "Zx9qLm22pQ7s")', ["Zx9qLm22pQ7s"]), ("Authorization: Bearer Zx9qLm22pQ7sAA", ["Zx9qLm22pQ7sAA"]), ('pwd = "Zx9qL" + "m22pQ7s"', ["Zx9qL", "m22pQ7s"]),
+        ('pwd = \\\n  "Zx9qLm22pQ7s"', ["Zx9qLm22pQ7s"]), ("PRIVATE_KEY=<<EOF\nZx9qLm22pQ7sAAAA\nEOF\n", ["Zx9qLm22pQ7sAAAA"]), ("# pwd: Zx9qLm22pQ7s\n", ["Zx9qLm22pQ7s"]), ('// x = "Zx9qLm22pQ7s"\npwd = x', []), ('/* x = "Zx9qLm22pQ7s" */ pwd = x', []),
+        ('conn = "Server=a;Pwd=Zx9qLm22pQ7s;"', ["Zx9qLm22pQ7s"]), ("it's the pwd=Zx9qLm22pQ7s isn't", ["Zx9qLm22pQ7s"]), ("The key of the secret (a token) passed: nobody knows it.", []), ('log("password", "is", "wrong")', []),
+    ],
+)
+def test_forms_of_assignments(text, literals):
+    assert [text[a:b] for kind, a, b in secret_scan.spans_of(text) if kind == "literal"] == literals
+
+
+@pytest.mark.parametrize("part", ["pwd(", "<!-- pwd ", '/* pwd "', "<a <pwd>", "pwd: >\n", 'pwd = "a" + ', 'pwd="""', "--pwd ", "Bearer ", "<<A\npwd=", "pwd=<<A\n", "pwd='a\\\'", "\\\'pwd", "pwd" + " " * 99, "((("])
+def test_long_texts_take_linear_time(part):
+    import time
+
+    text = "pwd = x; " + part * 20_000 + ")" * 20_000
+    began = time.time()
+    secret_scan.spans_of(text)
+    assert time.time() - began < 10
+
+
+def test_repeated_rows_have_repeated_literals(spark):
+    frame = spark.createDataFrame([(1, "pwd = Zx9qLm22pQ7s", "x")] * 3, "doc_id long, text string, n_assign string")
+    rows = secret_scan.digests(secret_scan.secret_spans(frame)).collect()
+    assert [tuple(x)[:4] for x in rows] == [(1, 0, 0, 0)] * 3 and {x["spans"] for x in rows} == {"literal:6:18"}
+
+
 def test_base_spans_stay(spark, tables):
     rows = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{tables}/documents.parquet").collect()]
     odd = ["token=token=abcdef", "secret=token: abcdef", "PASSWORD: 'abc def'", "paſſword=abcdef1", "toKen=abcdefg", "AKIA" + "A" * 15, "AKIAAKIA" + "B" * 20, "0" * 23 + "g" + "a" * 24 + "é" + "b" * 30, "api_key=" + "k" * 100_000, "=" * 5000 + '"' * 5000, "a=" * 20_000]
