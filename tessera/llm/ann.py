@@ -2,11 +2,14 @@
 
 A vector is represented by its nearest pivots in order.  Vectors are dealt into blocks by a hash of
 their id; a block's inverted file has for each pivot the vectors that name it and the place at which
-they do.  A query adds up, over the lists of its own pivots, what shared pivots take off the footrule
+they do.  A query reads the lists of its own pivots only and adds up what shared pivots take off the footrule
 distance of the two orders (a pivot that only one names counts as named one place after
-the last).  The part `rerank` of each block that is nearest by footrule is ranked anew by exact
-distances, and the nearest of all blocks are the result.  Every query goes to every block, since
-blocks are no regions; a copy of one vector that is repeated a million times is in all of them.
+the last).  Of all vectors about `rerank` times the square root of their number, those that are nearest by
+footrule, are ranked anew by exact distances: of each block its share.  The nearest of all blocks are the result.
+
+A list has named / pivots of a block's vectors, so that a query touches named * named / pivots entries for each vector:
+four with the given numbers, and the exact distances grow with the root of the table.  Every query goes to every block,
+since blocks are no regions; a copy of one vector that is repeated a million times is in all of them.
 """
 
 from __future__ import annotations
@@ -18,14 +21,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.cutting import cut
 
-#: Pivots, a bounded sample: of the distinct vectors those with the smallest hashes of their smallest ids.
-PIVOTS = 256
+#: Pivots, a bounded sample: of the distinct vectors those with the smallest hashes of their smallest ids; of small tables an eighth, but so many at least.
+PIVOTS, LEAST_PIVOTS = 1024, 16
 #: Pivots that a vector names.
-NAMED = 128
-#: Part of a block that is ranked by exact distances, and rows of it at least.
-RERANK, LEAST = 0.3, 128
+NAMED = 64
+#: Vectors that are ranked by exact distances, for each root of the table's size, and rows of a block at least.
+RERANK, LEAST = 12.0, 32
 #: Vectors of a block and queries of a group that meet in one task.
-BLOCK_ROWS, QUERY_ROWS = 8192, 2048
+BLOCK_ROWS, QUERY_ROWS = 32_768, 4096
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -41,6 +44,10 @@ def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
 def orders(x: np.ndarray, pivots: np.ndarray, named: int) -> np.ndarray:
     """The numbers of each row's nearest pivots, nearest first, ties to smaller numbers."""
     far = (pivots**2).sum(axis=1)[None] - 2 * x @ pivots.T
+    if named < far.shape[1]:
+        # those not farther than the last named one, which may be more if there are ties
+        last = np.partition(far, named - 1, axis=1)[:, named - 1 : named]
+        far = np.where(far <= last, far, np.inf)
     return np.argsort(far, axis=1, kind="stable")[:, :named].astype(np.uint16)
 
 
@@ -49,7 +56,8 @@ def _named(pivots: np.ndarray, named: int):
         for frame in frames:
             if len(frame):
                 x = np.stack(frame["v"].to_list())
-                yield pd.DataFrame({"vec_id": frame["vec_id"], "v": [r.tobytes() for r in x], "order": [r.tobytes() for r in orders(x, pivots, named)]})
+                order = np.concatenate([orders(x[a : a + 1024], pivots, named) for a in range(0, len(x), 1024)])
+                yield pd.DataFrame({"vec_id": frame["vec_id"], "v": [r.tobytes() for r in x], "order": [r.tobytes() for r in order]})
 
     return run
 
@@ -62,7 +70,7 @@ def inverted_file(named: np.ndarray, pivots: int) -> tuple[np.ndarray, np.ndarra
     return bounds, order // named.shape[1], (order % named.shape[1]).astype(np.int32)
 
 
-def _searched(pivots: int, k: int, rerank: float, least: int):
+def _searched(pivots: int, k: int, part: float, least: int):
     def run(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(block) or not len(queries):
@@ -79,7 +87,7 @@ def _searched(pivots: int, k: int, rerank: float, least: int):
         x = np.frombuffer(b"".join(heads), np.float64).reshape(len(heads), -1)
         named = np.frombuffer(b"".join(block["order"].iloc[first]), np.uint16).reshape(len(heads), -1)
         bounds, rows, places = inverted_file(named, pivots)
-        width, take = named.shape[1], min(len(heads), max(least, int(np.ceil(len(heads) * rerank))))
+        width, take = named.shape[1], min(len(heads), max(least, int(np.ceil(len(heads) * part))))
         out = []
         for query, v, order in zip(queries["vec_id"].tolist(), queries["v"], queries["order"], strict=True):
             saved = np.zeros(len(heads), np.int32)
@@ -112,13 +120,14 @@ def nearest(
     """
     schema = "query_id long, rank int, vec_id long, score double"
     known = cut(usable(vectors, vec_id, vector))
-    sample = known.groupBy("v").agg(F.min("vec_id").alias("vec_id")).orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(pivots).collect()
+    count = known.count()
+    wanted = min(pivots, max(LEAST_PIVOTS, count // 8))
+    sample = known.groupBy("v").agg(F.min("vec_id").alias("vec_id")).orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(wanted).collect()
     if not sample:
         return vectors.sparkSession.createDataFrame([], schema)
     centres = np.array([x["v"] for x in sample])
     index = known.mapInPandas(_named(centres, min(named, len(centres))), "vec_id long, v binary, order binary")
     index = cut(index)
-    count = index.count()
     queries = index.where(F.col("vec_id") % every == 0)
     blocks, groups = -(-count // block_rows), -(-queries.count() // QUERY_ROWS)
     if not groups:
@@ -128,6 +137,6 @@ def nearest(
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = index.select("vec_id", "v", "order", block, each(groups).alias("group"))
     right = queries.select("vec_id", "v", "order", each(blocks).alias("block"), group)
-    found = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(_searched(len(centres), k, rerank, least), "query_id long, vec_id long, score double")
+    found = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(_searched(len(centres), k, min(1.0, rerank / count**0.5), least), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
