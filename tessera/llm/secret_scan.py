@@ -21,6 +21,7 @@ from collections import Counter
 from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +57,8 @@ _TAG = re.compile(r"<([A-Za-z][\w.:-]*)(?:[ \t][^<>\n]*)?>([^<>\n]*)</([A-Za-z][
 _TYPE = re.compile(r"[ \t]*[A-Za-z_][\w.<>\[\]| ]*")
 _ARGUMENT = re.compile(_STRING.pattern + r"|[()]|\n[ \t]*\n")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-#: Without any of the parts that speak for a secret no literal can be one.
-_SENSITIVE = re.compile("(?i)" + "|".join(x for x, score in PARTS.items() if score > 0))
+#: Without any of the parts that speak for a secret no literal can be one; for Arrow, which searches whole columns.
+_SENSITIVE = "(?i)" + "|".join(x for x, score in PARTS.items() if score > 0)
 _HOLLOW = re.compile(r"(?i)x{4,}|\*{3,}|<[^<>]*>|\$\{[^{}]*\}|%\([^()]*\)|change.?me|placeholder|your[_-]|none|null|true|false")
 
 
@@ -290,12 +291,12 @@ def literal_spans(text: str) -> list[tuple[str, int, int]]:
     return [("literal", a, b) for a, b in lexer.found()]
 
 
-def spans_of(text: str | None) -> list[tuple[str, int, int]]:
-    """All spans by start, then kind: the base ones, and literals that no base span holds."""
+def spans_of(text: str | None, sensitive: bool = True) -> list[tuple[str, int, int]]:
+    """All spans by start, then kind: the base ones, and literals that no base span holds; without `sensitive` names only the base ones."""
     if not text:
         return []
     spans = base_spans(text)
-    if _SENSITIVE.search(text):
+    if sensitive:
         starts = sorted(a for _, a, _ in spans)
         reach = list(accumulate((b for _, _, b in sorted(spans, key=lambda x: x[1])), max))
         for kind, a, b in literal_spans(text):
@@ -309,9 +310,14 @@ _SPANS = "array<struct<kind:string,start:long,end:long>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
+def _sensitive(texts: pa.Array) -> list[bool]:
+    return pc.match_substring_regex(texts, _SENSITIVE).fill_null(False).to_pylist()
+
+
 def _scanned(batches):
     for batch in batches:
-        spans = [[{"kind": k, "start": a, "end": b} for k, a, b in spans_of(x)] for x in batch.column(1).to_pylist()]
+        texts = batch.column(1)
+        spans = [[{"kind": k, "start": a, "end": b} for k, a, b in spans_of(x, y)] for x, y in zip(texts.to_pylist(), _sensitive(texts), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _ARROW)], ["doc_id", "spans"])
 
 
@@ -338,9 +344,9 @@ def digests(spans: DataFrame) -> DataFrame:
     return spans.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def redacted_text(text: str | None, mark: str = "[secret]") -> str | None:
+def redacted_text(text: str | None, sensitive: bool = True, mark: str = "[secret]") -> str | None:
     """`text` with `mark` for each secret, overlapping ones together."""
-    spans = spans_of(text)
+    spans = spans_of(text, sensitive)
     if not spans:
         return text
     out, at, k = [], 0, 0
@@ -357,7 +363,7 @@ def redacted_text(text: str | None, mark: str = "[secret]") -> str | None:
 def _redacted(batches):
     for batch in batches:
         k = batch.schema.get_field_index("text")
-        yield batch.set_column(k, "text", pa.array([redacted_text(x) for x in batch.column(k).to_pylist()], pa.string()))
+        yield batch.set_column(k, "text", pa.array([redacted_text(x, y) for x, y in zip(batch.column(k).to_pylist(), _sensitive(batch.column(k)), strict=True)], pa.string()))
 
 
 def redact(docs: DataFrame) -> DataFrame:
