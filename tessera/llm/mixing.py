@@ -100,15 +100,19 @@ def _whole_copies(most: int):
     return run
 
 
+def _row_hash() -> Column:
+    return F.xxhash64("text", "source")
+
+
 def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies): for each row of `docs` how often the mix takes it, 0 to `most` times.
+    """(doc_id, source, size, source_size, target, copies, row_hash): for each row of `docs` how often the mix takes it, 0 to `most` times.
 
     `docs` has doc_id, text and source; other columns are ignored.  A null text has no words; documents
     without words are never taken.  A null source is a source of its own, the last one.  Rows that repeat are
     documents of their own; which of equal sizes are taken more often is decided by a hash of
-    doc_id and, for equal ids, does not matter.  Reruns agree.  An empty table gives an empty result.
+    doc_id, text and source, and for rows that are equal in these does not matter.  Reruns agree.  An empty table gives an empty result.
     """
-    counted = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    counted = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _row_hash().alias("row_hash")))
     counts = counted.groupBy("source", "size").agg(F.count("*").alias("docs"))
     totals = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
     targets = cut(source_targets(totals, weights=weights, share=share, most=most))
@@ -118,25 +122,29 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float =
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
     # Of a (source, size) each document has copies / docs rounded down; the first of them by hash have one more.
     # The ranks are counted in parts of about RANKED_ROWS, as one size may hold a third of all documents.
-    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("docs") / RANKED_ROWS))
-    dealt = counted.where("size > 0").join(by_size, same).select("doc_id", "source", "size", "docs", "copies", part.alias("part"))
+    part = F.pmod(F.xxhash64("doc_id", "row_hash", F.lit(1)), F.ceil(F.col("docs") / RANKED_ROWS))
+    dealt = counted.where("size > 0").join(by_size, same).select("doc_id", "row_hash", "source", "size", "docs", "copies", part.alias("part"))
     parts = dealt.groupBy("source", "size", "part").agg(F.count("*").alias("rows"))
     ahead = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("part").alias("p"), F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("ahead"))
-    own = Window.partitionBy("source", "size", "part").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id")
+    own = Window.partitionBy("source", "size", "part").orderBy(F.xxhash64("doc_id", "row_hash", F.lit(2)), "doc_id", "row_hash")
     ranked = dealt.withColumn("rank", F.row_number().over(own)).join(parts, same & (F.col("part") == F.col("p")))
     extra = F.col("ahead") + F.col("rank") <= F.col("copies") % F.col("docs")
-    taken = ranked.select("doc_id", "source", "size", (F.floor(F.col("copies") / F.col("docs")) + extra.cast("long")).alias("copies"))
+    taken = ranked.select("doc_id", "row_hash", "source", "size", (F.floor(F.col("copies") / F.col("docs")) + extra.cast("long")).alias("copies"))
     taken = taken.unionByName(counted.where("size = 0").withColumn("copies", F.lit(0).cast("long")))
     targets = targets.select(F.col("source").alias("t"), "source_size", "target")
-    return taken.join(targets, F.col("source").eqNullSafe(F.col("t")), "left").select("doc_id", "source", "size", "source_size", "target", "copies")
+    return taken.join(targets, F.col("source").eqNullSafe(F.col("t")), "left").select("doc_id", "source", "size", "source_size", "target", "copies", "row_hash")
 
 
 def take_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """`docs` with every row as often as mix(docs) takes it; rows that share a doc_id share its copies in the order of their texts' hashes."""
-    known = [F.coalesce("doc_id", F.lit(0)).alias("id_"), F.col("doc_id").isNull().alias("none_")]
-    each = Window.partitionBy("id_", "none_")
-    rows = docs.select("*", *known).withColumn("number_", F.row_number().over(each.orderBy(F.xxhash64("text", "source"))))
-    copies = mixed.select("copies", *known).groupBy("id_", "none_").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies_"))
-    taken = rows.join(copies, ["id_", "none_"]).withColumn("times_", F.get("copies_", F.col("number_") - 1)).where("times_ > 0")
-    return taken.withColumn("time_", F.explode(F.sequence(F.lit(1).cast("long"), "times_"))).select(*docs.columns)
+    """`docs` with every row as often as mix(docs) takes it; columns as they were, whatever they are called.
+
+    A row is known by doc_id, null or not, and by a hash of text and source.  Rows that are equal in these are the same to
+    the mix: one of them stands for all and comes as often as all together.
+    """
+    id_, none_ = F.coalesce("doc_id", F.lit(0)).alias("id_"), F.col("doc_id").isNull().alias("none_")
+    keys = ["id_", "none_", "own_"]
+    sums = mixed.where("copies > 0").groupBy(id_, none_, F.col("row_hash").alias("own_")).agg(F.sum("copies").alias("times_"))
+    rows = docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row_"), id_, none_, _row_hash().alias("own_"))
+    taken = rows.join(sums, keys).withColumn("number_", F.row_number().over(Window.partitionBy(*keys).orderBy("times_"))).where("number_ = 1")
+    return taken.withColumn("time_", F.explode(F.sequence(F.lit(1).cast("long"), "times_"))).select("row_.*")

@@ -311,6 +311,45 @@ def test_odd_rows_are_mixed(spark):
     assert {x["copies"] for x in mixed.where("size = 0").collect()} == {0} and mixing.mix(frame.limit(0)).count() == 0
 
 
+def test_rows_without_id_take_their_own_copies(spark):
+    """Sources and sizes of rows that share a doc_id, or have none, are not mixed up."""
+    rows = [(None, "w " * 100 + str(k), "a", 7, "x") for k in range(100)] + [(None, "v " * 5 + str(k), "b", 7, "y") for k in range(100)] + [(1, "same", "b", 7, "z"), (1, "other text", "a", 7, "z"), (1, "same", "b", 7, "z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, copies string")
+    mixed = mixing.mix(frame)
+    wanted, got = Counter(), Counter()
+    for x in mixed.collect():
+        wanted[x["doc_id"], x["source"]] += x["size"] * x["copies"]
+    taken = mixing.take_copies(frame, mixed)
+    assert taken.columns == frame.columns
+    for x in taken.collect():
+        got[x["doc_id"], x["source"]] += len(x["text"].split())
+    assert got == +wanted and {x["target"] for x in mixed.where("source = 'b'").collect()} != {None}
+
+
+def test_copies_agree_with_a_plain_version(spark, tables):
+    """Rates by bisection of the dual, and copies by carrying the rounding error, in numpy."""
+    found, sizes, targets = {}, {}, {}
+    for x in mixing.mix(spark.read.parquet(f"{tables}/documents.parquet")).collect():
+        sizes.setdefault(x["source"], Counter())[x["size"]] += 1
+        found.setdefault(x["source"], Counter())[x["size"]] += x["copies"]
+        targets[x["source"]] = x["target"]
+    for source, counts in sizes.items():
+        size = np.array(sorted((n for n in counts if n), reverse=True), float)
+        docs = np.array([counts[int(n)] for n in size], float)
+        low, high, mean = -60.0, 60.0, (size * docs).sum() / docs.sum()
+        for _ in range(200):
+            z = (low + high) / 2
+            got = (size * docs * 2 / (1 + np.exp(-z * size / mean))).sum()
+            low, high = (z, high) if got < targets[source] else (low, z)
+        rate = np.full(len(size), 2.0) if targets[source] >= 2 * (size * docs).sum() else 2 / (1 + np.exp(-low * size / mean))
+        owed = 0.0
+        for n, d, r in zip(size, docs, rate, strict=True):
+            owed += n * d * round(r, 9)
+            copies = min(max(round(owed / n), 0), 2 * d)
+            owed -= copies * n
+            assert abs(found[source][int(n)] - copies) <= 1
+
+
 # -- nearest neighbours
 
 
