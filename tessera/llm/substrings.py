@@ -1,20 +1,23 @@
-"""Exact removal of repeated word windows by relative Lempel-Ziv factors.
+"""Removal of repeated word windows by relative Lempel-Ziv factors.
 
 Every document is factored against all text that stands earlier (smaller doc_id, or earlier in the
-same document).  Three jobs, each of which moves a row for a *block* instead of one for a window:
+same document), which is indexed by *reference blocks*.  Three jobs, each of which moves a row for a block instead of one for a window:
 
 1. *Index.*  Each window of `window` words elects the smallest `anchor`-word hash inside it.  Consecutive
    windows with the same anchor are a reference block.  Equal windows elect equal anchors at equal
    places, so a window can repeat only in blocks whose anchor occurs twice.  A task sends an
    anchor at most once, and says whether it has seen it twice; further places of an anchor that a task has
    seen twice are candidates by themselves, so that no anchor is a hot key.
-2. *Factors.*  Candidate blocks are hashed as a whole (their windows' words).  Blocks that a task has
-   earlier in full are matched there, and consecutive ones become one row; the first of each goes to its anchor's partition.  Where all
-   blocks of an anchor are equal, the first keeps its windows and the others lose them.  Where
-   they differ - at the ends of factors - the windows are compared one by one.
-3. *Removal.*  A factor is a maximal run of windows that stand earlier; its words go.
+2. *Factors.*  A candidate block that equals an earlier reference block is one factor, whatever its length.  Where the
+   blocks of an anchor differ - at the ends of factors - each window is looked up in the reference, and a factor is a run
+   of windows that are found: what a greedy parse gives that looks up the windows at each factor's boundary.  Hot anchors'
+   blocks are dealt by window.
+3. *Removal.*  Factors that touch are joined across blocks; the words of each go.
 
-Only the two joins with the texts move texts.
+Words, blocks and windows are compared by 64-bit hashes, not word by word: of n different windows about
+n^2 / 2^65 pairs have equal hashes by accident, one in ten billion windows.
+
+Texts are dealt by document once; both joins with them share that exchange.
 """
 
 from __future__ import annotations
@@ -26,10 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.cutting import cut
 from tessera.llm.words import column_bytes, mix, ngrams, pair, slices, word_hashes, word_spans
 
 _U = np.uint64
 WINDOW, ANCHOR = 20, 5
+#: An anchor is hot if it holds more than this part of all blocks; so there are fewer than 1 / HOT of them, which bounds what is sent to the tasks.
+HOT = 1 / 4096
+#: Documents, about, in which hot anchors are looked for.  The sample decides only how blocks are dealt, no result.
+HOT_SAMPLE = 20_000
 _STEP = _U(0x9E3779B97F4A7C15)
 
 
@@ -99,29 +107,62 @@ def _anchors(window: int, anchor: int):
     return run
 
 
-def _columns(batches, names: tuple[str, ...]) -> list[np.ndarray] | None:
-    """A partition's columns of longs."""
-    held = [[batch.column(batch.schema.get_field_index(k)).to_numpy() for k in names] for batch in batches]
-    return [np.concatenate(x) for x in zip(*held, strict=True)] if held else None
+def _runs_of_keys(batches):
+    """Batches of a partition that is sorted by its first column, cut so that no key goes on in the next one; one key's rows are held at most."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        last = int(np.searchsorted(key, key[-1]))
+        if last or held and held[0].column(0)[0].as_py() != key[0]:
+            head = [*held, batch.slice(0, last)] if last else held
+            yield pa.Table.from_batches(head).combine_chunks()
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _repeated(batches):
-    columns = _columns(batches, ("key", "doc", "block"))
-    if columns is None:
-        return
-    key, doc, block = columns
-    order = np.argsort(key)
-    key, doc, block = key[order], doc[order], block[order]
-    same = key[1:] == key[:-1]
-    twice = np.zeros(len(key), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    chosen = twice | (block & 1 == 1)
-    yield pa.RecordBatch.from_arrays([pa.array(doc[chosen]), pa.array(block[chosen] >> 1)], ["doc", "block"])
-
-
-def _block_rows(window: int, anchor: int):
-    """Candidate blocks with their whole hash and their windows' hashes, one of each whole hash; of the others at once that they are repeats."""
+    for part in _runs_of_keys(batches):
+        key, doc, block = (part.column(k).to_numpy() for k in range(3))
+        same = key[1:] == key[:-1]
+        twice = np.zeros(len(key), bool)
+        twice[1:] |= same
+        twice[:-1] |= same
+        chosen = twice | (block & 1 == 1)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[chosen]), pa.array(block[chosen] >> 1)], ["doc", "block"])
+
+
+def places(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[k], first[k] + 1, ... of count[k] places, of all k."""
+    ends = np.cumsum(count)
+    return np.repeat(first - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _listed(key: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, sent: np.ndarray, wins: np.ndarray) -> pa.RecordBatch:
+    """Rows of which each has the next sent[k] of `wins`."""
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sent))), pa.int32()), pa.array(wins.view(np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(start), pa.array(size), lists], ["key", "doc", "start", "size", "wins"])
+
+
+def _firsts(value: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the earliest of each value, and of the later ones.  One doc_id and place may stand in two rows: that is no later place."""
+    order = np.lexsort((start, doc, value))
+    value, doc, start = value[order], doc[order], start[order]
+    new = np.ones(len(value), bool)
+    new[1:] = value[1:] != value[:-1]
+    tie = np.zeros(len(value), bool)
+    tie[1:] = (doc[1:] == doc[:-1]) & (start[1:] == start[:-1]) & ~new[1:]
+    return order[new], order[~new & ~tie]
+
+
+def _block_rows(window: int, anchor: int, hot: np.ndarray):
+    """Candidate blocks with their windows' hashes, one of each whole hash; of the others at once that they are repeats.
+
+    Of hot anchors the windows go each by itself, and again one of each.
+    """
 
     def run(batches):
         for batch in batches:
@@ -143,8 +184,7 @@ def _block_rows(window: int, anchor: int):
                 inverse = np.cumprod(np.full(len(hashes) + 1, _U(pow(int(_STEP), -1, 1 << 64)), _U))
                 whole.append(mix((sums[at + n + window - 1] - sums[at]) * inverse[at] + n.astype(_U)))
                 grams, windows = ngrams(hashes, anchor), ngrams(hashes, window)
-                flat = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                wins.append(windows[flat])
+                wins.append(windows[places(at, n)])
                 # the block's anchor again: the smallest one in its first window, as of all its windows
                 key.append(np.min(np.lib.stride_tricks.sliding_window_view(grams, window - anchor + 1)[at], axis=1))
                 doc.append(ids[a + owner])
@@ -154,22 +194,27 @@ def _block_rows(window: int, anchor: int):
                 continue
             doc, start, size, whole, key, wins = (np.concatenate(x) for x in (doc, start, size, whole, key, wins))
             at = np.cumsum(size) - size
-            order = np.lexsort((start, doc, whole))
-            new = np.concatenate(([True], whole[order][1:] != whole[order][:-1]))
-            # One doc_id and place may stand in two rows: that is no earlier place.
-            tie = np.concatenate(([False], (doc[order][1:] == doc[order][:-1]) & (start[order][1:] == start[order][:-1]) & ~new[1:]))
-            for a in range(0, int(new.sum()), 1 << 15):
-                some = order[new][a : a + (1 << 15)]
-                n = size[some]
-                flat = np.repeat(at[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(wins[flat].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(doc[some]), pa.array(start[some]), pa.array(n), lists], ["key", "doc", "start", "size", "wins"])
-            late = order[~new & ~tie]
-            d, s, n = _runs(doc[late], start[late], size[late])
+            first, late = _firsts(whole, doc, start)
+            ones = np.ones(len(late), np.int64) * size[late]
+            found = [(doc[late], start[late], ones)]
+            wide = np.isin(key[first], hot)
+            for a in range(0, int((~wide).sum()), 1 << 15):
+                some = first[~wide][a : a + (1 << 15)]
+                yield _listed(key[some], doc[some], start[some], size[some], size[some], wins[places(at[some], size[some])])
+            some = first[wide]
+            if len(some):
+                row = np.repeat(some, size[some])
+                win, d = wins[places(at[some], size[some])], doc[row]
+                p = start[row] + places(np.zeros(len(some), np.int64), size[some])
+                once, again = _firsts(win, d, p)
+                found.append((d[again], p[again], np.ones(len(again), np.int64)))
+                for a in range(0, len(once), 1 << 16):
+                    part = once[a : a + (1 << 16)]
+                    one = np.ones(len(part), np.int64)
+                    yield _listed(mix(win[part]), d[part], p[part], one, one, win[part])
+            d, s, n = _runs(*(np.concatenate(x) for x in zip(*found, strict=True)))
             if len(d):
-                lists = pa.ListArray.from_arrays(pa.array(np.zeros(len(d) + 1), pa.int32()), pa.array(np.zeros(0, np.int64)))
-                anywhere = mix(d.view(_U) * _U(3) + s.astype(_U)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(anywhere), pa.array(d), pa.array(s), pa.array(n), lists], ["key", "doc", "start", "size", "wins"])
+                yield _listed(mix(d.view(_U) * _U(3) + s.astype(_U)), d, s, n, np.zeros(len(d), np.int64), np.zeros(0, _U))
 
     return run
 
@@ -185,47 +230,58 @@ def _runs(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndar
 
 
 def _earlier(batches):
-    """(doc, start, size): ranges of windows that stand earlier as well."""
-    held = []
-    for batch in batches:
-        lists = batch.column(4)
-        held.append((*(batch.column(k).to_numpy() for k in range(4)), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()))
-    if not held:
-        return
-    key, doc, start, size, sent, wins = (np.concatenate(x) for x in zip(*held, strict=True))
-    found = [(doc[sent == 0], start[sent == 0], size[sent == 0])]
-    at = np.cumsum(sent) - sent
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    twice = np.zeros(len(key), bool)
-    twice[order[1:]] |= same
-    twice[order[:-1]] |= same
-    rows = np.flatnonzero(twice & (sent > 0))
-    if len(rows):
-        n = sent[rows]
-        row = np.repeat(rows, n)
-        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        win, d, p = wins[at[row] + step], doc[row], start[row] + step
-        order = np.lexsort((p, d, win))
-        win, d, p = win[order], d[order], p[order]
-        lead = np.concatenate(([True], win[1:] != win[:-1]))
-        first = np.maximum.accumulate(np.where(lead, np.arange(len(win)), 0))
-        late = (d != d[first]) | (p != p[first])
-        found.append((d[late], p[late], np.ones(int(late.sum()), np.int64)))
-    d, s, n = _runs(*(np.concatenate(x) for x in zip(*found, strict=True)))
-    yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(n)], ["doc", "start", "size"])
-
-
-def repeated_windows(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc, start, size): ranges of windows of `docs` (doc_id, text) that stand earlier too; a document may have several that touch."""
+    """(doc, start, size): factors of windows that the reference blocks of their key have earlier."""
+    for part in _runs_of_keys(batches):
+        key, doc, start, size = (part.column(k).to_numpy() for k in range(4))
+        lists = part.column(4).chunk(0) if isinstance(part.column(4), pa.ChunkedArray) else part.column(4)
+        sent, wins = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy()
+        found = [(doc[sent == 0], start[sent == 0], size[sent == 0])]
+        at = np.cumsum(sent) - sent
+        same = key[1:] == key[:-1]
+        twice = np.zeros(len(key), bool)
+        twice[1:] |= same
+        twice[:-1] |= same
+        rows = np.flatnonzero(twice & (sent > 0))
+        if len(rows):
+            row = np.repeat(rows, sent[rows])
+            win, d = wins[places(at[rows], sent[rows])], doc[row]
+            p = start[row] + places(np.zeros(len(rows), np.int64), sent[rows])
+            _, late = _firsts(win, d, p)
+            found.append((d[late], p[late], np.ones(len(late), np.int64)))
+        d, s, n = _runs(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(n)], ["doc", "start", "size"])
+
+
+def hot_anchors(docs: DataFrame, *, window: int, anchor: int) -> np.ndarray:
+    """Hashes of the anchors that hold more than `HOT` of the blocks of about `HOT_SAMPLE` documents: fewer than 1 / HOT, in order."""
+
+    def counted(batches):
+        for batch in batches:
+            keys = [g for _, _, h, f in _hashed(*column_bytes(batch.column(1))) for *_, g in [blocks(h, f, window, anchor)]]
+            key, count = np.unique(np.concatenate(keys) if keys else np.zeros(0, _U), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], ["key", "n"])
+
+    rows = docs.count()
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(-(-rows // HOT_SAMPLE))) == 0) if rows > HOT_SAMPLE else docs
+    counts = cut(sample.mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return np.sort(np.array([x["key"] for x in counts.where(F.col("n") > max(total * HOT, 64)).collect()], np.int64)).view(_U)
+
+
+def repeated_windows(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, dealt: DataFrame | None = None) -> DataFrame:
+    """(doc, start, size): ranges of windows of `docs` (doc_id, text) that stand earlier too; a document may have several that touch.
+
+    `dealt` are the same rows, dealt by doc_id.
+    """
     if not 0 < anchor <= window or window - anchor > 200:
         raise ValueError("0 < anchor <= window <= anchor + 200 is needed")
     docs = docs.where("doc_id is not null")
-    found = docs.mapInArrow(_anchors(window, anchor), "key long, doc long, block long").repartition("key").mapInArrow(_repeated, "doc long, block long")
+    hot = hot_anchors(docs, window=window, anchor=anchor)
+    found = docs.mapInArrow(_anchors(window, anchor), "key long, doc long, block long").repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "doc long, block long")
     wanted = found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("block").alias("blocks"))
-    texts = docs.join(wanted, "doc_id").select("doc_id", "text", "blocks")
-    rows = texts.mapInArrow(_block_rows(window, anchor), "key long, doc long, start long, size long, wins array<long>")
-    return rows.repartition("key").mapInArrow(_earlier, "doc long, start long, size long")
+    texts = (docs if dealt is None else dealt).join(wanted, "doc_id").select("doc_id", "text", "blocks")
+    rows = texts.mapInArrow(_block_rows(window, anchor, hot), "key long, doc long, start long, size long, wins array<long>")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_earlier, "doc long, start long, size long")
 
 
 def covered_words(count: int, starts: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
@@ -276,9 +332,13 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     one doc_id, what is found at a place in either goes for both.  Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = repeated_windows(docs, window=window, anchor=anchor)
+    known = docs.where("doc_id is not null")
+    dealt = known.repartition("doc_id")
+    found = repeated_windows(known, window=window, anchor=anchor, dealt=dealt)
     found = found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "size")).alias("windows"))
-    return docs.join(found, "doc_id", "left").select("doc_id", "text", "windows").mapInArrow(_kept(window), _KEPT)
+    rows = dealt.join(found, "doc_id", "left").select("doc_id", "text", "windows")
+    none = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<start:long,size:long>>").alias("windows"))
+    return rows.unionByName(none).mapInArrow(_kept(window), _KEPT)
 
 
 def digests(kept: DataFrame) -> DataFrame:

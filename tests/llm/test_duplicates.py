@@ -143,6 +143,28 @@ def test_repeats_are_exact(spark, window, anchor):
     assert [x["n_removed"] for x in found if x[0] is None] == [0]
 
 
+def test_one_anchor_in_all_documents(spark):
+    """A phrase that all documents have, in contexts that differ, is dealt by window and changes no result."""
+    draw = random.Random(5)
+    own = lambda n: [f"u{draw.randrange(10**9)}" for _ in range(n)]
+    shared = own(30)
+    rows = [(k, " ".join(own(draw.randrange(3, 30)) + (["all", "rights", "are", "reserved", "here"] if k % 50 else shared + ["all", "rights", "are", "reserved", "here"]) + own(draw.randrange(3, 30)))) for k in range(1500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert 0 < len(substrings.hot_anchors(frame, window=20, anchor=1)) < 4096
+    found = substrings.digests(substrings.remove_repeats(frame, window=20, anchor=1)).collect()
+    assert {x[0]: tuple(x)[1:] for x in found} == brute_repeats(rows, 20)
+
+
+def test_partitions_are_read_key_by_key():
+    import pyarrow as pa
+
+    keys = [1, 1, 2, 2, 2, 3, 3, 3, 3, 3, 4, 5]
+    for step in range(1, 13):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + step], pa.int64())], ["key"]) for a in range(0, 12, step)]
+        parts = [x.column(0).to_pylist() for x in substrings._runs_of_keys(iter([*batches, batches[0].slice(0, 0)]))]
+        assert [y for x in parts for y in x] == keys and sum(len(set(x)) for x in parts) == 5
+
+
 def test_repeats_of_a_table(spark, tables):
     rows = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{tables}/documents.parquet").collect()]
     assert {x[0]: tuple(x)[1:] for x in op9_substring_dedup(spark, tables).collect()} == brute_repeats(rows, 20)
