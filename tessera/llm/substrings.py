@@ -331,7 +331,9 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     doc_id and text are one document, each row with its result; with another text under
     one doc_id, what is found at a place in either goes for both.  Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # Casts only where they are needed: a name for a column that is one already would keep the joins from sharing their exchange.
+    kinds = dict(docs.dtypes)
+    docs = docs.select(*(F.col(x) if kinds[x] == kind else F.col(x).cast(kind).alias(x) for x, kind in (("doc_id", "bigint"), ("text", "string"))))
     known = docs.where("doc_id is not null")
     dealt = known.repartition("doc_id")
     found = repeated_windows(known, window=window, anchor=anchor, dealt=dealt)
