@@ -391,5 +391,19 @@ def test_copies_and_unusable_vectors(spark):
     assert ann.nearest(few.limit(0)).columns == ["query_id", "rank", "vec_id", "score"] and ann.nearest(few.limit(0)).count() == 0 and ann.nearest(few.where("vec_id = 1")).count() == 0
 
 
+def test_checkpoints_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tessera.llm.cutting import shared_folder
+
+    set_: list[str] = []
+    session = lambda master, named: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=set_.append), conf=SimpleNamespace(get=lambda *_: named))
+    with pytest.raises(ValueError):
+        shared_folder(session("spark://host:7077", None))
+    shared_folder(session("spark://host:7077", "/shared/a"))
+    shared_folder(session("local[2]", None))
+    assert set_[0] == "/shared/a" and len(set_) == 2
+
+
 def test_json_of_queries_is_plain():
     assert json.dumps(sorted(queries())).count("op") >= 10
