@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 
-METHODS = ("lerp", "nlerp", "slerp")
+METHODS = ("lerp", "nlerp", "slerp", "slerp-sequential")
 
 
 def _checked(vectors: Sequence[Sequence[float]], weights: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +77,7 @@ def slerp(vectors: Sequence[Sequence[float]], weights: Sequence[float], *, seque
 def interpolate(method: str, vectors: Sequence[Sequence[float]], weights: Sequence[float]) -> np.ndarray:
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; one of {', '.join(METHODS)}")
-    return {"lerp": lerp, "nlerp": nlerp, "slerp": slerp}[method](vectors, weights)
+    return {"lerp": lerp, "nlerp": nlerp, "slerp": slerp, "slerp-sequential": partial(slerp, sequential=True)}[method](vectors, weights)
 
 
 def mean_vectors(rows: DataFrame, keys: Sequence[str], *, vector: str = "embedding", weight: str | None = None, by: str = "count", normalise: bool = False) -> DataFrame:

@@ -83,3 +83,42 @@ def grid_boxes(width: Column, height: Column, *, rows: int, columns: int) -> Col
     whole = F.array(box(F.lit(0), F.lit(0), width, height))
     cells = [box(width * c / columns, height * r / rows, width * (c + 1) / columns, height * (r + 1) / rows) for r in range(rows) for c in range(columns)]
     return F.concat(whole, F.array(*cells))
+
+
+def overlapping_boxes(width: Column, height: Column, *, rows: int, columns: int, overlap: float = 0.5) -> Column:
+    """As grid_boxes, and after the grid's boxes the ones between neighbours, shifted by 1 - overlap of a cell right and down, that lie inside."""
+    if not 0 < overlap < 1:
+        raise ValueError("overlap is between 0 and 1")
+    box = lambda a, b, c, d: F.struct(a.cast("double").alias("left"), b.cast("double").alias("top"), c.cast("double").alias("right"), d.cast("double").alias("bottom"))
+    shift = 1 - overlap
+    between = [box(width * (c + shift) / columns, height * (r + shift) / rows, width * (c + 1 + shift) / columns, height * (r + 1 + shift) / rows) for r in range(rows - 1) for c in range(columns - 1)]
+    cells = grid_boxes(width, height, rows=rows, columns=columns)
+    return F.concat(cells, F.array(*between)) if between else cells
+
+
+def box_area(box: Column) -> Column:
+    return F.greatest(box["right"] - box["left"], F.lit(0.0)) * F.greatest(box["bottom"] - box["top"], F.lit(0.0))
+
+
+def box_overlap(a: Column, b: Column) -> Column:
+    """Area of what two boxes share by the area of what they cover."""
+    shared = F.greatest(F.least(a["right"], b["right"]) - F.greatest(a["left"], b["left"]), F.lit(0.0)) * F.greatest(F.least(a["bottom"], b["bottom"]) - F.greatest(a["top"], b["top"]), F.lit(0.0))
+    return shared / F.greatest(box_area(a) + box_area(b) - shared, F.lit(1e-12))
+
+
+def kept_boxes(boxes: Column, *, least_area: float = 0.0, most_ratio: float | None = None, most_overlap: float = 1.0, top: int | None = None) -> Column:
+    """Of an array of (left, top, right, bottom, score) the best ones: large enough, not too long, none that overlaps a better one too much.
+
+    Best scores come first, ties as they stood; `top` of them are kept at most.
+    """
+    sides = lambda x: (F.greatest(x["right"] - x["left"], F.lit(1e-12)), F.greatest(x["bottom"] - x["top"], F.lit(1e-12)))
+
+    def fits(x: Column) -> Column:
+        wide, high = sides(x)
+        return (box_area(x) >= least_area) & (F.lit(True) if most_ratio is None else F.greatest(wide / high, high / wide) <= most_ratio)
+
+    placed = F.transform(F.filter(boxes, fits), lambda x, k: F.struct((-x["score"]).alias("by"), k.alias("place"), x.alias("box")))
+    ordered = F.transform(F.array_sort(placed), lambda x: x["box"])
+    none = F.slice(ordered, 1, 0)
+    kept = F.aggregate(ordered, none, lambda done, x: F.when(F.exists(done, lambda y: box_overlap(x, y) > most_overlap), done).otherwise(F.concat(done, F.array(x))))
+    return kept if top is None else F.slice(kept, 1, top)

@@ -45,11 +45,11 @@ class NoModel:
         raise ValueError("this index has no model: vectors must be supplied")
 
 
-def chunked(docs: DataFrame, fields: Sequence[str], *, by: str = "sentence", length: int = 2, overlap: int = 0) -> DataFrame:
-    """(_id, field, chunk_idx, chunk) of text fields; null fields have none."""
+def chunked(docs: DataFrame, fields: Sequence[str], *, by: str = "sentence", length: int = 2, overlap: int = 0, keep: Sequence[str] = ()) -> DataFrame:
+    """(_id, field, chunk_idx, chunk) of text fields, and the columns to `keep`; null fields have none."""
     each = [F.struct(F.lit(x).alias("field"), X.split_text(F.col(f"`{x}`"), by=by, length=length, overlap=overlap).alias("chunks")) for x in fields]
-    rows = docs.select("_id", F.explode(F.array(*each)).alias("f"))
-    return rows.select("_id", "f.field", F.posexplode("f.chunks").alias("chunk_idx", "chunk"))
+    rows = docs.select("_id", *keep, F.explode(F.array(*each)).alias("f"))
+    return rows.select("_id", "f.field", *keep, F.posexplode("f.chunks").alias("chunk_idx", "chunk"))
 
 
 def embedded(chunks: DataFrame, embedder: Embedder, *, prefix: str | None = None, normalise: bool = True) -> DataFrame:
@@ -71,6 +71,15 @@ def embedded(chunks: DataFrame, embedder: Embedder, *, prefix: str | None = None
     return chunks.join(made, "chunk", "left").withColumn("embedding", F.coalesce("embedding", "made")).select(*chunks.columns)
 
 
+def pooled(tokens: DataFrame, keys: Sequence[str], *, how: str = "mean", place: str = "place", vector: str = "embedding") -> DataFrame:
+    """(keys, embedding) from vectors of tokens (keys, place, embedding[, mask]): the mean of those with a mask above 0, or `cls`, the first one's."""
+    if how not in ("mean", "cls"):
+        raise ValueError(f"unknown pooling {how!r}; mean or cls")
+    if how == "cls":
+        return tokens.groupBy(*keys).agg(F.min_by(vector, place).alias(vector))
+    return mean_vectors(tokens.where(F.col("mask") > 0) if "mask" in tokens.columns else tokens, keys, vector=vector)
+
+
 def combined(parts: DataFrame, weights: Mapping[str, float], *, name: str, normalise: bool = True) -> DataFrame:
     """(_id, field, chunk_idx, chunk, embedding) of a field that is put together of others.
 

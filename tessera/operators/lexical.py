@@ -64,7 +64,11 @@ def with_tokens(docs: DataFrame, fields: Sequence[str]) -> DataFrame:
     missing = [x for x in fields if x not in docs.columns]
     if missing:
         raise ValueError(f"no such text fields: {', '.join(missing)}")
-    return docs.withColumns({f"tokens_{x}": X.tokens(F.col(f"`{x}`")) for x in fields})
+    if not fields:
+        return docs
+    # A generated row is no expression that filters or projections above could take in: each text is cut once.
+    made = F.inline(F.array(F.struct(*(X.tokens(F.col(f"`{x}`")).alias(f"tokens_{x}") for x in fields))))
+    return docs.select("*", made)
 
 
 def _times(field: str, term: str) -> Column:
@@ -122,21 +126,22 @@ def field_score(stats: dict, fields: Sequence[str], k: int, terms: Sequence[str]
     return score
 
 
-def bm25(docs: DataFrame, query: KeywordQuery, fields: Sequence[str], *, aggregator: str = "sum", df_scope: str = "fields", candidates: Column | None = None) -> DataFrame:
+def bm25(docs: DataFrame, query: KeywordQuery, fields: Sequence[str], *, aggregator: str = "sum", df_scope: str = "fields", candidates: Column | None = None, within: DataFrame | None = None) -> DataFrame:
     """`docs` that match, with _score: BM25 over `fields`, summed, averaged over all searched fields, or the largest.
 
-    Statistics are those of all of `docs`; `candidates` filters what is returned.  Two scans, no shuffle.
+    Statistics are those of all of `docs`; `candidates` filters what is returned, and `within`, some of the rows of `docs`, is what
+    is scored if it is given.  Two scans that cut each text once, and no shuffle.
     """
     if aggregator not in AGGREGATORS:
         raise ValueError(f"unknown aggregator {aggregator!r}; one of {', '.join(AGGREGATORS)}")
     fields = list(dict.fromkeys(fields))
-    tokened = with_tokens(docs, fields)
     terms = [] if query.everything else [w for x in (*query.optional, *query.required) for w in words_of(x)]
-    found = tokened.where(matches(query, fields))
-    found = found if candidates is None else found.where(candidates)
-    if not terms:
-        return found.withColumn("_score", F.lit(0.0)).select(*docs.columns, "_score")
-    stats = statistics(tokened, fields, terms, df_scope=df_scope)
+    rows = docs if within is None else within
+    rows = rows if candidates is None else rows.where(candidates)
+    if query.everything or not terms:
+        return (rows if query.everything else rows.where(F.lit(False))).withColumn("_score", F.lit(0.0)).select(*docs.columns, "_score")
+    stats = statistics(with_tokens(docs.select(*(F.col(f"`{x}`") for x in fields if x in docs.columns)), fields), fields, terms, df_scope=df_scope)
+    found = with_tokens(rows, fields).where(matches(query, fields))
     scores = [field_score(stats, fields, k, terms) for k in range(len(fields))]
     score = F.greatest(*scores) if aggregator == "max" and len(scores) > 1 else reduce(lambda a, b: a + b, scores)
     return found.withColumn("_score", score / len(fields) if aggregator == "avg" else score).select(*docs.columns, "_score")

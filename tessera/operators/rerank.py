@@ -41,12 +41,14 @@ def rerank(hits: DataFrame, fields: Sequence[str], *, query: str | None = None,
     fields = [x for x in fields if x in hits.columns]
     if not fields:
         raise ValueError("reranking needs a field that the hits have")
-    chunks = chunked(hits, fields).where(F.trim("chunk") != "")
+    kept = [x for x in hits.columns if x != "_highlights"]
+    whole = F.struct(*(F.col(f"`{x}`") for x in kept)).alias("hit_")  # goes along with its chunks, so that the hits are found once
+    chunks = chunked(hits.select("_id", *(F.col(f"`{x}`") for x in fields if x != "_id"), whole), fields, keep=("hit_",)).where(F.trim("chunk") != "")
     chunks = scored_by(chunks, scorer) if scorer else chunks.withColumn("score", overlap_score(query or "").cast("double"))
     place = F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("score"), "field", "chunk_idx"))
     best = chunks.withColumn("place", place).where(F.col("place") <= highlights)
-    best = best.groupBy("_id").agg(F.max("score").alias("new_"), F.array_sort(F.collect_list(F.struct("place", "field", "chunk"))).alias("best_"))
-    joined = hits.drop("_highlights").join(best, "_id")
+    best = best.groupBy("_id").agg(F.max("score").alias("new_"), F.array_sort(F.collect_list(F.struct("place", "field", "chunk"))).alias("best_"), F.first("hit_").alias("hit_"))
+    joined = best.select("hit_.*", "new_", "best_")
     return joined.select(
         *(x for x in joined.columns if x not in ("_score", "new_", "best_")), F.col("new_").alias("_score"), (F.col("new_") * F.col("_score")).alias("_multiplied"), (F.col("new_") + F.col("_score")).alias("_added"),
         F.transform("best_", lambda x: F.create_map(x["field"], x["chunk"])).alias("_highlights"),

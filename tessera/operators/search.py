@@ -76,8 +76,10 @@ def tensor_search(
     if where is not None:
         if docs is None:
             raise ValueError("a filter needs documents")
-        chunks = chunks.join(docs.where(where).select("_id"), "_id", "left_semi")
-    scored = _scored(chunks, query, metric, fields)
+    scored = _scored(chunks, query, metric, fields).select("_id", "field", "s")
+    if where is not None:
+        # Scores move to the filtered ids, not vectors; the best of each document is then where its id is.
+        scored = scored.join(docs.where(where).select("_id"), "_id", "left_semi")
 
     def with_highlights(ids: DataFrame) -> DataFrame:
         """What was found, with chunks: only scores are shuffled before the limit, chunks after it.  `ids` are a few pages of rows at most."""
@@ -201,11 +203,13 @@ def hybrid_search(
     none = F.lit(None).cast("double")
     if hybrid.retrieval == "tensor":
         first = tensor(limit + offset, 0, None).select("_id")
-        stats_over = lexical.bm25(docs, KeywordQuery.of(query), keyword_fields).select("_id", F.col("_score").alias("found"))
-        rows = docs.join(first, "_id", "left_semi").join(stats_over, "_id", "left").withColumn("_score", F.coalesce("found", F.lit(0.0)))
+        paged = docs.join(F.broadcast(first), "_id", "left_semi")  # limit + offset ids at most
+        matched = lexical.bm25(docs, KeywordQuery.of(query), keyword_fields, within=paged).select("_id", F.col("_score").alias("found"))
+        rows = paged.join(matched, "_id", "left").withColumn("_score", F.coalesce("found", F.lit(0.0)))
         rows = rows.withColumn("_score", modified(rows, F.col("_score"), keyword_modifiers))
         return page(rows, limit, offset).select("_id", "_score", none.alias("_tensor_score"), F.col("_score").alias("_lexical_score"))
     first = keyword(limit + offset, 0).select("_id")
+    first = F.broadcast(first)  # limit + offset ids at most
     near = nearest_documents(tensor_scores(chunks.join(first, "_id", "left_semi"), vector, metric=metric, fields=tensor_fields))
     rows = docs.join(first, "_id", "left_semi").join(near, "_id", "left").withColumn("_score", F.coalesce("_score", F.lit(0.0)))
     rows = rows.withColumn("_score", modified(rows, F.col("_score"), tensor_modifiers))

@@ -23,8 +23,7 @@ class FilterError(ValueError):
     """A filter that can't be read, or that a table has no field for."""
 
 
-_WORD = r"(?:\\.|[^\s():\[\]\\,])+"
-_TERM = re.compile(rf"\s*(?P<field>{_WORD}(?:\\\s|{_WORD})*)(?:\s*:\s*(?:\[(?P<range>[^\]]*)\]|\((?P<group>(?:\\.|[^()\\])*)\)|(?P<value>(?:\\.|[^\s()\\])+))|\s+[Ii][Nn]\s*\((?P<list>(?:\\.|[^()\\]|\((?:\\.|[^()\\])*\))*)\))")
+_TERM = re.compile(r"\s*(?P<field>(?:\\.|[^\s():\[\]\\,])++)(?:\s*:\s*(?:\[(?P<range>[^\]]*)\]|\((?P<group>(?:\\.|[^()\\])*)\)|(?P<value>(?:\\.|[^\s()\\])+))|\s+[Ii][Nn]\s*\((?P<list>(?:\\.|[^()\\]|\((?:\\.|[^()\\])*\))*)\))")
 _KEYWORD = re.compile(r"\s*(AND|OR|NOT)(?=[\s(])")
 _LISTED = re.compile(r"\s*(?:\((?P<group>(?:\\.|[^()\\])*)\)|(?P<plain>(?:\\.|[^,()\\])*))\s*(?:,|$)")
 
@@ -100,7 +99,10 @@ def read_filter(text: str, term: Callable[[str, str, object], Column]) -> Column
 
     if not text or not text.strip():
         raise FilterError("the filter is empty")
-    out = either()
+    try:
+        out = either()
+    except RecursionError:
+        fail("parentheses or negations are nested too deep")
     if text[at:].strip():
         fail("an operator is missing" if not text[at:].lstrip().startswith(")") else "an opening parenthesis is missing")
     return out

@@ -36,6 +36,16 @@ def test_errors(docs, text):
         structured_filter(docs, text)
 
 
+@pytest.mark.parametrize("text", ["a" * 10_000, "a\\ b" * 3000, "\\" * 9999, "a:(" + "x" * 9999, "a IN (" + "(b), " * 5000, "a:[" + "1 " * 9999, "(" * 5000 + "a:1", "NOT " * 5000, "a IN (" + "\\a" * 9999])
+def test_long_filters_are_read_in_linear_time(docs, text):
+    import time
+
+    began = time.time()
+    with pytest.raises(FilterError):
+        structured_filter(docs, text)
+    assert time.time() - began < 5
+
+
 def test_only_filterable_fields(docs):
     with pytest.raises(FilterError):
         structured_filter(docs, "a:1", filterable={"flag"})
