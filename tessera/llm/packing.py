@@ -34,9 +34,9 @@ END_ID = 0
 #: White space that is no blank of a unit, but may stand in one run with such; in the syntax of Arrow's patterns.
 OTHER_BLANK = r"[\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 #: Units whose ids a task remembers, and their length at most; half of them, not used for longest, go when there are more.
-KEPT, KEPT_BYTES = 400_000, 64
+KEPT, KEPT_BYTES = 250_000, 64
 #: Bytes of text whose units are found and looked up together.
-TOGETHER = 1 << 23
+TOGETHER = 1 << 21
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
