@@ -15,9 +15,16 @@ def last_of_each(batch: DataFrame, *, key: str = "_id", position: str = "pos") -
     return batch.withColumn("nth_", F.row_number().over(last)).where("nth_ = 1").drop("nth_")
 
 
-def with_ids(batch: DataFrame, *, key: str = "_id") -> DataFrame:
-    """Rows without a key get a random one."""
-    return batch.withColumn(key, F.coalesce(key, F.uuid()))
+def with_ids(batch: DataFrame, token: str, *, key: str = "_id") -> DataFrame:
+    """Rows without a key get one that depends on the row and on `token`, the batch's name, alone: run again they get it again.
+
+    Equal rows are told apart by their number among their likes.
+    """
+    row = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{x}`") for x in batch.columns if x not in (key, "pos")))), F.lit(token)) if set(batch.columns) - {key, "pos"} else F.xxhash64(F.lit(token))
+    order = F.row_number().over(Window.partitionBy("row_").orderBy("pos" if "pos" in batch.columns else "row_"))
+    bare = batch.where(F.col(key).isNull()).withColumn("row_", row).withColumn("nth_", order)
+    named = bare.withColumn(key, F.sha2(F.concat_ws(":", F.lit(token), "row_", "nth_"), 256)).drop("row_", "nth_")
+    return batch.where(F.col(key).isNotNull()).unionByName(named)
 
 
 def validated(batch: DataFrame, rules: dict[str, Column], *, key: str = "_id") -> DataFrame:

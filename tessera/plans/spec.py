@@ -120,18 +120,32 @@ class IndexSpec:
                 low = lambda v: F.abs(v.cast("double")) <= 3.4028235e38
                 out[f"{x.name} is out of range"] = F.col(f"`{x.name}`").isNull() | (low(F.col(f"`{x.name}`")) if x.kind == "float" else F.forall(f"`{x.name}`", low))
             if x.kind == "custom_vector":
-                out[f"{x.name} has a vector of another length"] = F.col(f"`{x.name}`").isNull() | (F.size(F.col(f"`{x.name}`")["vector"]) == self.dimensions)
+                own, v = F.col(f"`{x.name}`"), F.col(f"`{x.name}`")["vector"]
+                out[f"{x.name} has a vector of another length"] = own.isNull() | (F.size(v) == self.dimensions)
+                out[f"{x.name} has a vector with missing parts"] = own.isNull() | F.forall(v, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")))
+                if self.normalize_embeddings:
+                    out[f"{x.name} has a vector without length"] = own.isNull() | F.exists(v, lambda y: y != 0)
         return out
 
     def grown(self, docs: DataFrame, *, most: int = 100) -> IndexSpec:
-        """With text fields that `docs` has and the spec has not; up to `most` of them are searchable."""
+        """With the fields that `docs` has and the spec has not; up to `most` of those of text are searchable.
+
+        Text can be searched and filtered by, bools and lists filtered by, numbers also change scores, maps of numbers change scores.
+        """
         if self.mode == "structured":
             return self
         known = {x.name for x in self.fields}
-        new = [Field(x.name, "text", ("lexical_search", "filter")) for x in docs.schema if x.name not in known and x.name != "_id" and isinstance(x.dataType, T.StringType)]
+        kinds = {k.simpleString(): name for name, k in KINDS.items() if "pointer" not in name and name not in ("multimodal_combination", "custom_vector")}
+        new = []
+        for x in docs.schema:
+            if x.name in known or x.name == "_id" or x.dataType.simpleString() not in kinds:
+                continue
+            kind = kinds[x.dataType.simpleString()]
+            features = ("lexical_search", "filter") if kind == "text" else ("score_modifier",) if kind.startswith("map<") else ("filter", "score_modifier") if kind in _NUMBERS else ("filter",)
+            new.append(Field(x.name, kind, features))
         if not new:
             return self
-        if len(self.with_feature("lexical_search")) + len(new) > most:
+        if len(self.with_feature("lexical_search")) + sum("lexical_search" in x.features for x in new) > most:
             raise ValueError(f"an index has at most {most} fields that can be searched by keywords")
         return replace(self, fields=(*self.fields, *new), version=self.version + 1)
 

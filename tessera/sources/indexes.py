@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,15 +94,17 @@ class Indexes:
         read = self.spark.read.schema(_CHUNKS).option("recursiveFileLookup", "false")
         return read.parquet(f"{self.root}/{name}/v{version}/chunks").select("_id", "field", "chunk_idx", "chunk", "embedding")
 
-    def add_documents(self, name: str, batch: DataFrame, *, reuse: bool = False) -> DataFrame:
+    def add_documents(self, name: str, batch: DataFrame, *, reuse: bool = False, token: str | None = None, mappings: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
         """Adds or replaces whole documents; of `batch` (pos, fields) the last row of each _id counts.  Gives (pos, _id, status, error).
 
-        Columns that name a tensor field are chunked and embedded; bad rows are told and left out.
+        Columns that name a tensor field are chunked and embedded; bad rows are told and left out.  Rows without _id get one
+        made of the row and `token`, the batch's name: a batch that is run again under one name gives the same documents.
+        `mappings` has other weights of combinations' parts for this batch.
         """
         _, spec = self._current(name)
         if "pos" not in batch.columns:
             batch = batch.withColumn("pos", F.monotonically_increasing_id())
-        batch = D.last_of_each(D.with_ids(batch))
+        batch = D.last_of_each(D.with_ids(batch, token or uuid4().hex))
         grown = spec.grown(batch.drop("pos"))
         known = {x.name for x in grown.fields} | {"_id", "pos"}
         if unknown := {*batch.columns} - known:
@@ -123,7 +126,12 @@ class Indexes:
         for x in grown.fields:
             if x.kind == "multimodal_combination":
                 pieces = E.embedded(good.select("_id", F.explode(F.array(*(F.struct(F.lit(y).alias("field"), F.col(f"`{y}`").alias("chunk")) for y in x.dependent_fields if y in batch.columns))).alias("f")).select("_id", "f.*").where("chunk is not null"), self.embedders.get(grown.model, E.HashEmbedder(grown.dimensions)), normalise=grown.normalize_embeddings)
-                own = E.combined(pieces, x.dependent_fields, name=x.name, normalise=grown.normalize_embeddings)
+                weights = dict(x.dependent_fields)
+                if other := (mappings or {}).get(x.name):
+                    if unknown := {*other} - {*weights}:
+                        raise ValueError(f"{x.name} has no parts {', '.join(sorted(unknown))}")
+                    weights |= other
+                own = E.combined(pieces, weights, name=x.name, normalise=grown.normalize_embeddings)
                 made = own if made is None else made.unionByName(own)
         kept = old_chunks.join(good.select("_id"), "_id", "left_anti")
         self._write(grown, D.upsert(old_docs, good), kept if made is None else kept.unionByName(made.withColumns({"embedding": F.col("embedding").cast("array<float>"), "chunk_idx": F.col("chunk_idx").cast("int")})))
@@ -179,7 +187,7 @@ class Indexes:
 
     def search(
         self, name: str, q: str | Mapping[str, float] | CustomVector | None = None, *, method: str = "TENSOR", limit: int = 10, offset: int = 0, filter: str | None = None, searchable_attributes: Sequence[str] | None = None,
-        score_modifiers: ScoreModifiers | None = None, context: Sequence[tuple[Sequence[float], float]] = (), hybrid: Hybrid | None = None, text_query_prefix: str | None = None,
+        score_modifiers: ScoreModifiers | None = None, context: Sequence[tuple[Sequence[float], float]] = (), hybrid: Hybrid | None = None, text_query_prefix: str | None = None, approximate: bool | None = None,
     ) -> DataFrame:
         """One page of hits by TENSOR, LEXICAL or HYBRID search.
 
@@ -193,6 +201,8 @@ class Indexes:
         if method == "LEXICAL":
             if not isinstance(q, str) or context:
                 raise ValueError("keyword search takes a text")
+            if approximate is not None:
+                raise ValueError("keyword search is never approximate")
             return lexical_search(docs, q, list(searchable_attributes or spec.with_feature("lexical_search")), where=where, modifiers=score_modifiers, limit=limit, offset=offset)
         text = q if isinstance(q, str) else None
         if isinstance(q, CustomVector):

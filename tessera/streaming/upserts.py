@@ -11,7 +11,7 @@ from tessera.sources.indexes import Indexes
 
 def stream_into(indexes: Indexes, name: str, batches: DataFrame, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
     """Each micro-batch is one add_documents; a batch that is run again after a failure gives the same documents."""
-    writer = batches.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: indexes.add_documents(name, batch) and None)
+    writer = batches.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, number: indexes.add_documents(name, batch, token=f"{checkpoint}:{number}") and None)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
