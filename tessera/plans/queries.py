@@ -14,11 +14,13 @@ from tessera.functions.scoring import ScoreModifiers
 from tessera.operators import documents as D
 from tessera.operators import embedding as E
 from tessera.operators import lexical as L
+from tessera.operators import inverted as I
 from tessera.operators import search as S
 from tessera.operators.approximate import approximate_search, projections
 from tessera.operators.recommend import recommend
 from tessera.operators.rerank import rerank
 from tessera.plans.filters import inferred_filter, structured_filter
+from tessera.plans.spec import Field, IndexSpec
 from tessera.streaming.upserts import arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -505,17 +507,17 @@ def upsert_last_wins(spark, folder):
 
 def _patched(spark, folder):
     docs = _table(spark, folder, "supplier").select(F.col("s_suppkey").cast("string").alias("_id"), "s_name", "s_acctbal")
-    patches = _table(spark, folder, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").cast("string").alias("_id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("s_acctbal"))
+    patches = _table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("_id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("s_acctbal"))
     return D.partial_update(docs, patches)
 
 
 @query("""SELECT s_suppkey::VARCHAR AS _id, s_name, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END, s_acctbal) AS s_acctbal
-FROM supplier LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 = 0) ON c_custkey = s_suppkey""")
+FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey""")
 def partial_update(spark, folder):
     return _patched(spark, folder)[0]
 
 
-@query("SELECT c_custkey::VARCHAR AS _id, CASE WHEN s_suppkey IS NULL THEN 404 ELSE 200 END AS status FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey WHERE c_custkey % 7 = 0")
+@query("SELECT c_custkey::VARCHAR AS _id, CASE WHEN s_suppkey IS NULL THEN 404 ELSE 200 END AS status FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
 def partial_update_status(spark, folder):
     return _patched(spark, folder)[1]
 
@@ -593,3 +595,198 @@ def embed_texts(spark, folder):
     """Chunks of conversations with vectors of the hash embedder."""
     docs = _table(spark, folder, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("_id"), "text")
     return E.embedded(E.chunked(docs, ["text"]), E.HashEmbedder(16)).select("_id", "chunk_idx", F.round(F.aggregate(V.doubles("embedding"), F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+# -- an inverted index that searches read
+
+
+def _from_index(rows: DataFrame, fields: list[str], text: str, **options) -> DataFrame:
+    return _rounded(I.index_search(I.index_terms(rows, fields), I.index_lengths(rows, fields), text, fields, **options))
+
+
+@query(_bm25_sql("documents", "doc_id", ["text"], ["idiot", "nicht", "that"]))
+def index_search_terms(spark, folder):
+    return _from_index(_documents(spark, folder), ["text"], "idiot nicht that")
+
+
+@query(_bm25_sql("documents", "doc_id", ["text"], ["of", "the"], matched="contains(' ' || array_to_string(t0, ' ') || ' ', ' of the ')"))
+def index_search_phrase(spark, folder):
+    return _from_index(_documents(spark, folder), ["text"], '"of the"')
+
+
+@query(_bm25_sql("part", "p_partkey", ["p_name", "p_type"], ["red", "steel", "brass"], "max"))
+def index_search_max_fields(spark, folder):
+    return _from_index(_parts(spark, folder), ["p_name", "p_type"], "red steel brass", aggregator="max")
+
+
+@query(_bm25_sql("(SELECT *, p_name || ' ' || p_type AS all_text FROM part)", "p_partkey", ["all_text"], ["red", "steel"]))
+def lexical_one_field_of_all_text(spark, folder):
+    """Keyword search where all text of a document is one field."""
+    return _rounded(L.bm25(_parts(spark, folder).withColumn("all_text", F.concat_ws(" ", "p_name", "p_type")), L.KeywordQuery.of("red steel"), ["all_text"]))
+
+
+@query(f"""WITH {_bm25_sql("part", "p_partkey", ["p_name"], ["red", "steel"], only_scores=True)}, m AS (SELECT _id, raw * 0.5 * p_size - 2.0 * p_size AS s FROM b JOIN part ON _id = p_partkey::VARCHAR)
+SELECT _id, round(s, 6)::DOUBLE AS score FROM m ORDER BY s DESC, _id LIMIT 20""")
+def lexical_search_modified(spark, folder):
+    """Modified scores may be below zero and stay so."""
+    return _rounded(S.lexical_search(_parts(spark, folder), "red steel", ["p_name"], modifiers=ScoreModifiers({"p_size": 0.5}, {"p_size": -2.0}), limit=20))
+
+
+@query(f"""WITH {_B}, m AS (SELECT _id, raw * 0.01 * n_chars AS s FROM b JOIN documents ON _id = doc_id::VARCHAR)
+SELECT _id, round(s, 5) AS score, NULL::DOUBLE AS tensor_score, round(s, 5) AS lexical_score FROM m ORDER BY s DESC, _id LIMIT 10""")
+def hybrid_keyword_modifiers(spark, folder):
+    hits = _hybrid(spark, folder, S.Hybrid("lexical", "lexical", keyword_modifiers=ScoreModifiers({"n_chars": 0.01})))
+    return hits.select("_id", F.round("score", 5).alias("score"), "tensor_score", F.round("lexical_score", 5).alias("lexical_score"))
+
+
+@query("SELECT p_partkey::VARCHAR AS _id, round(3.0 * p_size * 2.0 - 4.0 * p_retailprice, 6)::DOUBLE AS score FROM part")
+def score_modifiers_repeated(spark, folder):
+    """Of a field that is named twice the last weight counts; unknown fields are nothing unless asked for."""
+    m = ScoreModifiers.of({"multiply_score_by": [{"field_name": "p_size", "weight": 9}, {"field_name": "p_size", "weight": 3}, {"field_name": "absent"}], "add_to_score": [{"field_name": "p_retailprice", "weight": -4}]})
+    docs = _parts(spark, folder)
+    return docs.select("_id", F.round(S.modified(docs, F.lit(2.0), m, strict=False), 6).alias("score"))
+
+
+# -- rules: what a request may be
+
+
+def _told(spark, cases: dict[str, Callable[[], object]]) -> DataFrame:
+    """(request, accepted) by whether a request raises a ValueError."""
+
+    def accepted(run) -> bool:
+        try:
+            run()
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(name, accepted(run)) for name, run in cases.items()], "request string, accepted boolean")
+
+
+def _told_sql(good: list[str], bad: list[str]) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{x}', {str(ok).lower()})" for rows, ok in ((good, True), (bad, False)) for x in rows) + ") AS t(request, accepted)"
+
+
+_PAGES = {"1 0": (1, 0), "1000 9000": (1000, 9000), "0 0": (0, 0), "1001 0": (1001, 0), "1 -1": (1, -1), "1000 9001": (1000, 9001), "1.5 0": (1.5, 0), "true 0": (True, 0)}
+
+
+@query(_told_sql(["1 0", "1000 9000"], ["0 0", "1001 0", "1 -1", "1000 9001", "1.5 0", "true 0"]))
+def page_rules(spark, folder):
+    return _told(spark, {name: lambda x=x: S.check_page(*x) for name, x in _PAGES.items()})
+
+
+_ARMS_OF = [(a, b) for a in ("disjunction", "tensor", "lexical") for b in ("rrf", "tensor", "lexical")]
+
+
+@query(_told_sql(["disjunction rrf", "tensor tensor", "tensor lexical", "lexical tensor", "lexical lexical"], ["disjunction tensor", "disjunction lexical", "tensor rrf", "lexical rrf", "alpha 2", "rrf_k -1", "keyword attributes of tensor"]))
+def hybrid_rules(spark, folder):
+    more = {"alpha 2": {"alpha": 2}, "rrf_k -1": {"rrf_k": -1}, "keyword attributes of tensor": {"retrieval": "tensor", "ranking": "tensor", "keyword_attributes": ["text"]}}
+    return _told(spark, {f"{a} {b}": lambda a=a, b=b: S.Hybrid(a, b) for a, b in _ARMS_OF} | {name: lambda x=x: S.Hybrid(**x) for name, x in more.items()})
+
+
+_FILTERS = ["c_custkey:1", "c_custkey:[1 TO *]", "NOT c_name:x", "_id:1", "c_custkey:x", "c_custkey:[* TO *]", "c_acctbal IN (1)", "c_phone:1", "c_custkey:1 AND", "(c_custkey:1", "c_mktsegment:A"]
+
+
+@query(_told_sql(_FILTERS[:4], _FILTERS[4:]))
+def filter_rules(spark, folder):
+    docs = _table(spark, folder, "customer").withColumn("_id", F.col("c_custkey").cast("string"))
+    return _told(spark, {x: lambda x=x: structured_filter(docs, x, filterable={"c_custkey", "c_name", "c_acctbal"}) for x in _FILTERS})
+
+
+@query(_told_sql(["text", "weighted texts", "context", "texts and context"], ["nothing", "text and context", "short vector", "65 vectors", "no model"]))
+def query_rules(spark, folder):
+    made, v = E.HashEmbedder(4), [1.0, 0.0, 0.0, 0.0]
+    return _told(spark, {
+        "text": lambda: E.embed_query("a", made), "weighted texts": lambda: E.embed_query({"a": 1.0, "b": -2.0}, made), "context": lambda: E.embed_query(None, E.NoModel(4), context=[(v, 1.0)]), "texts and context": lambda: E.embed_query({"a": 1.0}, made, context=[(v, 1.0)]),
+        "nothing": lambda: E.embed_query(None, made), "text and context": lambda: E.embed_query("a", made, context=[(v, 1.0)]), "short vector": lambda: E.embed_query(None, made, context=[([1.0], 1.0)]), "65 vectors": lambda: E.embed_query(None, made, context=[(v, 1.0)] * 65), "no model": lambda: E.embed_query("a", E.NoModel(4)),
+    })
+
+
+@query(_told_sql(["one", "a zero weight"], ["none", "all zero", "absent"]))
+def recommend_rules(spark, folder):
+    chunks = _chunks(spark, folder)
+    return _told(spark, {"one": lambda: recommend(chunks, ["1"]), "a zero weight": lambda: recommend(chunks, {"1": 1.0, "2": 0.0}), "none": lambda: recommend(chunks, []), "all zero": lambda: recommend(chunks, {"1": 0.0}), "absent": lambda: recommend(chunks, ["no"])})
+
+
+_GROWN = [("known", "text", "filter"), ("t", "text", "lexical_search,filter"), ("n", "long", "filter,score_modifier"), ("b", "bool", "filter"), ("l", "array<text>", "filter"), ("m", "map<text, double>", "score_modifier")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(str(x) for x in _GROWN) + ") AS t(field, kind, features)")
+def grown_schema(spark, folder):
+    docs = spark.createDataFrame([], "_id string, known string, t string, n bigint, b boolean, l array<string>, m map<string,double>")
+    spec = IndexSpec("grown", (Field("known", "text", ("filter",)),)).grown(docs)
+    return spark.createDataFrame([(x.name, x.kind, ",".join(x.features)) for x in spec.fields], "field string, kind string, features string")
+
+
+# -- more of documents, chunks and vectors
+
+
+@query("SELECT c_custkey::VARCHAR AS _id, c_name, 1.5::DOUBLE AS _score FROM customer")
+def projected_fields(spark, folder):
+    hits = _table(spark, folder, "customer").withColumns({"_id": F.col("c_custkey").cast("string"), "_score": F.lit(1.5)})
+    return S.projected(hits, ["c_name", "absent"], strict=False)
+
+
+@query("SELECT c_custkey::VARCHAR AS _id, c_name, c_nationkey::VARCHAR AS nation, c_acctbal > 0 AS positive FROM customer")
+def document_round_trip(spark, folder):
+    """Fields to maps by kind, and back."""
+    docs = _table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("_id"), "c_name", "c_nationkey", (F.col("c_acctbal") > 0).alias("positive"))
+    back = lambda path: F.get_json_object("document", path)
+    return D.unflattened(D.flattened(docs)).select("_id", back("$.short_strings.c_name").alias("c_name"), back("$.ints.c_nationkey").alias("nation"), back("$.bools.positive").cast("boolean").alias("positive"))
+
+
+@query("SELECT label, arg_min(embedding, vec_id)[1]::DOUBLE AS first, arg_min(embedding, vec_id)[64]::DOUBLE AS last FROM embeddings GROUP BY label")
+def cls_pooling(spark, folder):
+    first = E.pooled(_embeddings(spark, folder), ["label"], how="cls", place="vec_id")
+    return first.select("label", F.get("embedding", F.lit(0)).cast("double").alias("first"), F.get("embedding", F.lit(63)).cast("double").alias("last"))
+
+
+@query(f"SELECT item_id, chunk_idx, 'passage: ' || chunk AS embedded, chunk AS stored FROM ({_split_sql('benchmark', 'item_id', 'list_filter(string_split(text, chr(0)), lambda x: x <> chr(0))', 1, 1, ' ')})")
+def chunk_prefix(spark, folder):
+    rows = _split(spark, folder, "benchmark", "item_id", by="passage", length=1, overlap=0)
+    return rows.select("item_id", "chunk_idx", X.prefixed(F.col("chunk"), X.resolve_prefix(None, "passage: ", "model: ")).alias("embedded"), F.col("chunk").alias("stored"))
+
+
+@query("""SELECT p_partkey, k::INTEGER AS box, round(p_size * 5.0 * (k % 1 + 0.5), 6)::DOUBLE AS left_edge, round(p_size * 3.0 * 1.5, 6)::DOUBLE AS bottom_edge FROM part, (VALUES (5)) AS v(k)""")
+def image_grid_overlapping(spark, folder):
+    """The box between the four of a grid."""
+    boxes = _table(spark, folder, "part").select("p_partkey", F.posexplode(X.overlapping_boxes(F.col("p_size") * 10, F.col("p_size") * 6, rows=2, columns=2)).alias("box", "b"))
+    return boxes.where("box = 5").select("p_partkey", "box", F.round("b.left", 6).alias("left_edge"), F.round("b.bottom", 6).alias("bottom_edge"))
+
+
+@query("""WITH b AS (SELECT p_brand, p_partkey, p_size AS w, 51 - p_size AS h, p_retailprice AS s FROM part),
+k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY s DESC, p_partkey) AS r FROM b WHERE w * h >= 300 AND greatest(w::DOUBLE / h, h::DOUBLE / w) <= 3.0)
+SELECT p_brand, r::INTEGER - 1 AS place, s AS score FROM k WHERE r <= 5""")
+def boxes_kept(spark, folder):
+    """Boxes by brand: large enough, not too long, the five best."""
+    box = F.struct(F.lit(0.0).alias("left"), F.lit(0.0).alias("top"), F.col("p_size").cast("double").alias("right"), (51 - F.col("p_size")).cast("double").alias("bottom"), F.col("p_retailprice").alias("score"))
+    rows = _table(spark, folder, "part").groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", box.alias("box")))), lambda x: x["box"]).alias("boxes"))
+    return rows.select("p_brand", F.posexplode(X.kept_boxes(F.col("boxes"), least_area=300, most_ratio=3.0, top=5)).alias("place", "b")).select("p_brand", "place", F.col("b.score").alias("score"))
+
+
+def _slerp_sql(second: float) -> str:
+    """Three vectors: two meet in the middle, and what they give meets the third at `second`."""
+    arc = lambda a, b, g, t, name: f"list_transform(list_zip({a}, {b}), lambda p: (sin({1 - t} * {g}) * p[1] + sin({t} * {g}) * p[2]) / sin({g})) AS {name}"
+    angle = lambda a, b: f"acos(list_dot_product({a}, {b}) / ({_NORM.format(a)} * {_NORM.format(b)}))"
+    return f"""WITH {_E}, abc AS (SELECT x.v AS a, y.v AS b, z.v AS c FROM e x, e y, e z WHERE x.vec_id = 3 AND y.vec_id = 4 AND z.vec_id = 5), g AS (SELECT *, {angle('a', 'b')} AS g FROM abc), ab AS (SELECT c, {arc('a', 'b', 'g', 0.5, 'm')} FROM g),
+h AS (SELECT *, {angle('m', 'c')} AS h FROM ab), z AS (SELECT {arc('m', 'c', 'h', second, 'z')} FROM h), q AS (SELECT list_transform(z, lambda y: y / {_NORM.format('z')}) AS u FROM z)
+SELECT _id, round({_CLOSE['prenormalized-angular']}, 6) AS score FROM e, q WHERE vec_id NOT IN (3, 4, 5) ORDER BY {_CLOSE['prenormalized-angular']} DESC, _id LIMIT 10"""
+
+
+@query(_slerp_sql(0.5))
+def recommend_slerp_three(spark, folder):
+    return _rounded(recommend(_chunks(spark, folder), ["3", "4", "5"]))
+
+
+@query(_slerp_sql(1 / 3))
+def recommend_slerp_sequential(spark, folder):
+    return _rounded(recommend(_chunks(spark, folder), ["3", "4", "5"], method="slerp-sequential"))
+
+
+@query("SELECT c_custkey::VARCHAR AS _id, c_custkey % 3 <> 0 AS named, CASE WHEN c_custkey % 3 <> 0 THEN 0 ELSE 64 END AS id_length FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT 'made', false, 64 FROM customer WHERE c_custkey % 3 = 0")
+def ids_of_rows_without_one(spark, folder):
+    """Every row keeps its id or gets one of its own that depends on the row and the batch."""
+    batch = _table(spark, folder, "customer").select(F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey").cast("string")).alias("_id"), "c_mktsegment")
+    made = D.with_ids(batch, "batch-1").groupBy("_id").count().where("count = 1")
+    long = F.length("_id") == 64
+    return made.select(F.when(long, "made").otherwise(F.col("_id")).alias("_id"), (~long).alias("named"), F.when(long, 64).otherwise(0).alias("id_length"))

@@ -80,3 +80,22 @@ def test_media_windows_and_boxes(spark):
     assert [tuple(x) for x in row["w"]] == [(0.0, 10.0), (7.0, 17.0), (14.0, 24.0), (15.0, 25.0)] and [tuple(x) for x in row["s"]] == [(0.0, 4.0)]
     assert len(row["b"]) == 4 and tuple(row["b"][0]) == (0.0, 0.0, 90.0, 60.0) and tuple(row["b"][3]) == (60.0, 0.0, 90.0, 60.0) and row["m"] == "image" and row["t"] == "text"
     assert X.resolve_prefix(None, "index: ", "model: ") == "index: " and X.resolve_prefix("", "index: ", None) == ""
+
+
+def test_boxes_that_overlap_a_better_one_go(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions.text import kept_boxes
+
+    boxes = [(0.0, 0.0, 10.0, 10.0, 0.5), (1.0, 0.0, 11.0, 10.0, 0.9), (20.0, 0.0, 30.0, 10.0, 0.1), (0.0, 0.0, 1.0, 1.0, 1.0), (0.0, 0.0, 100.0, 2.0, 1.0)]
+    frame = spark.createDataFrame([(boxes,), ([],)], "b array<struct<left:double,top:double,right:double,bottom:double,score:double>>")
+    rows = frame.select(kept_boxes(F.col("b"), least_area=50, most_ratio=3, most_overlap=0.5).alias("k")).collect()
+    assert [[x["score"] for x in r["k"]] for r in rows] == [[0.9, 0.1], []]
+
+
+def test_rows_get_the_same_id_again(spark):
+    from tessera.operators.documents import with_ids
+
+    frame = spark.createDataFrame([(None, "a"), (None, "a"), (None, "b"), ("x", "a")], "_id string, t string")
+    first, again, other = ({x["_id"] for x in with_ids(frame.repartition(n), token).collect()} for n, token in ((1, "k"), (3, "k"), (2, "l")))
+    assert first == again and len(first) == 4 and first & other == {"x"}
