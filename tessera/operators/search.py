@@ -110,6 +110,19 @@ def lexical_search(
     return page(scored, limit, offset).withColumn("_highlights", F.array().cast("array<map<string,string>>"))
 
 
+def scored_page(docs: DataFrame, scores: DataFrame, *, where: Column | None = None, modifiers: ScoreModifiers | None = None, limit: int = 10, offset: int = 0, strict: bool = True) -> DataFrame:
+    """As lexical_search, from (_id, _score): only ids and scores move before the limit, and the page's documents are joined after it."""
+    check_page(limit, offset)
+    if modifiers is not None:
+        joined = (docs if where is None else docs.where(where)).join(scores, "_id")
+        scores = joined.select("_id", modified(joined, F.col("_score"), modifiers, strict=strict).alias("_score"))
+    elif where is not None:
+        scores = scores.join(docs.where(where).select("_id"), "_id", "left_semi")
+    found = page(scores, limit, offset)
+    hits = docs.join(F.broadcast(found), "_id")  # one page
+    return hits.withColumn("_highlights", F.array().cast("array<map<string,string>>")).orderBy(F.desc("_score"), "_id")
+
+
 @dataclass(frozen=True)
 class Hybrid:
     """How the two arms are put together, and what each has for itself; what is allowed with what."""

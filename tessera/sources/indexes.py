@@ -1,8 +1,8 @@
 """Indexes as Parquet tables in one folder, and what users do with them.
 
-`<root>/_indexes` has a row for each change of an index; the row of its largest version counts.  Documents
-and chunks of version n are the folders `<root>/<name>/v<n>/documents` and `.../chunks`: a change writes new folders
-and then its row, so that readers see either state.
+`<root>/_indexes` has a row for each change of an index; the row of its largest version counts.  Documents,
+chunks and the inverted index of version n are the folders `<root>/<name>/v<n>/documents`, `.../chunks`, `.../terms` and `.../lengths`:
+a change writes new folders and then its row, so that readers see either state.  An index has one writer at a time.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql.utils import AnalysisException
 from tessera.functions.scoring import ScoreModifiers
 from tessera.operators import documents as D
 from tessera.operators import embedding as E
+from tessera.operators import inverted
+from tessera.operators.lexical import KeywordQuery
 from tessera.operators.recommend import recommend
-from tessera.operators.search import CustomVector, Hybrid, hybrid_search, lexical_search, tensor_search
+from tessera.operators.search import CustomVector, Hybrid, hybrid_search, lexical_search, scored_page, tensor_search
 from tessera.plans.filters import structured_filter
 from tessera.plans.spec import IndexSpec
 
@@ -61,8 +63,27 @@ class Indexes:
         version = self._last_version(spec.name) + 1
         docs.write.parquet(f"{self.root}/{spec.name}/v{version}/documents")
         chunks.write.partitionBy("field").parquet(f"{self.root}/{spec.name}/v{version}/chunks")
+        if fields := self._indexed(spec):
+            written = self.spark.read.schema(spec.schema()).parquet(f"{self.root}/{spec.name}/v{version}/documents")
+            terms = inverted.index_terms(written, fields).repartition("bucket").sortWithinPartitions("bucket", "term")
+            terms.write.partitionBy("bucket").parquet(f"{self.root}/{spec.name}/v{version}/terms")
+            inverted.index_lengths(written, fields).write.parquet(f"{self.root}/{spec.name}/v{version}/lengths")
         self._note(spec.name, version, spec)
 
+    @staticmethod
+    def _indexed(spec: IndexSpec) -> list[str]:
+        """Text fields that keyword search reads from the inverted index."""
+        return [x for x in spec.with_feature("lexical_search") if spec.schema()[x].dataType.simpleString() == "string"]
+
+    def _keyword_scores(self, name: str, q: str, fields: Sequence[str]) -> DataFrame | None:
+        """(_id, _score) from the inverted index, or None where a query or its fields have to be read from the documents."""
+        version, spec = self._current(name)
+        if KeywordQuery.of(q).everything or not fields or {*fields} - {*self._indexed(spec)}:
+            return None
+        read = lambda part, schema: self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v{version}/{part}")
+        terms = read("terms", "field string, term string, _id string, tf long, dl long, places array<int>, bucket int")
+        return inverted.index_search(terms, read("lengths", "field string, documents long, rows long, length long"), q, list(fields))
+
     def create_index(self, spec: IndexSpec) -> None:
         if self.list_indexes().where(F.col("name") == spec.name).count():
             raise ValueError(f"there is an index {spec.name}")
@@ -203,7 +224,10 @@ class Indexes:
                 raise ValueError("keyword search takes a text")
             if approximate is not None:
                 raise ValueError("keyword search is never approximate")
-            return lexical_search(docs, q, list(searchable_attributes or spec.with_feature("lexical_search")), where=where, modifiers=score_modifiers, limit=limit, offset=offset)
+            fields = list(searchable_attributes or spec.with_feature("lexical_search"))
+            if (scores := self._keyword_scores(name, q, fields)) is None:
+                return lexical_search(docs, q, fields, where=where, modifiers=score_modifiers, limit=limit, offset=offset)
+            return scored_page(docs, scores, where=where, modifiers=score_modifiers, limit=limit, offset=offset)
         text = q if isinstance(q, str) else None
         if isinstance(q, CustomVector):
             q, text, context = None, q.content, [*context, (q.vector, 1.0)]

@@ -85,6 +85,53 @@ def test_hybrid_query_forms_and_arms(spark, indexes):
             Hybrid(method, method, **options)
 
 
+def test_keyword_search_reads_the_index(spark, indexes, capsys):
+    """The inverted index gives what a scan of the documents gives, and the scan is not in its plan before the page."""
+    from tessera.functions.scoring import ScoreModifiers
+    from tessera.operators.search import lexical_search
+
+    fields = (*SPEC.fields, Field("note", "text", ("lexical_search",)))
+    indexes.create_index(IndexSpec("my-index", fields, (), mode="structured", dimensions=16))
+    rows = [(k, f"d{k}", " ".join(f"w{(k * j) % 7}" for j in range(k % 5 + 1)), k, None if k % 3 else f"w{k % 4} w1 w2") for k in range(40)]
+    indexes.add_documents("my-index", spark.createDataFrame(rows, "pos int, _id string, title string, year int, note string"))
+    docs = indexes.documents("my-index")
+    for q in ("w1 w3", '"w1 w2"', '"w1" w0', "w1 w1", "absent", '""', "*"):
+        for options in ({}, {"modifiers": ScoreModifiers({"year": 2.0}, {"year": 0.1})}, {"where": docs["year"] > 20}):
+            wanted = lexical_search(docs, q, ["title", "note"], limit=100, **options)
+            named = {"score_modifiers": options.get("modifiers"), "filter": "year:[21 TO *]" if "where" in options else None}
+            found = indexes.search("my-index", q, method="LEXICAL", limit=100, **named)
+            assert {x["_id"]: round(x["_score"], 9) for x in found.collect()} == {x["_id"]: round(x["_score"], 9) for x in wanted.collect()}
+    assert [x["_id"] for x in indexes.search("my-index", "w1", method="LEXICAL", limit=3, searchable_attributes=["title"]).collect()] == [x["_id"] for x in lexical_search(docs, "w1", ["title"], limit=3).collect()]
+    with pytest.raises(ValueError):
+        indexes.search("my-index", "w1", method="LEXICAL", approximate=False)
+    indexes.search("my-index", "w1", method="LEXICAL").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+
+
+def test_grown_fields_of_all_kinds(spark, indexes):
+    indexes.create_index(IndexSpec("kinds", dimensions=8))
+    indexes.add_documents("kinds", spark.createDataFrame([(0, "a", 5, True, ["x"], {"k": 1.5})], "pos int, _id string, n bigint, b boolean, l array<string>, m map<string,double>"))
+    indexes.add_documents("kinds", spark.createDataFrame([(0, None, "t"), (1, None, "t")], "pos int, _id string, t string"), token="one")
+    indexes.add_documents("kinds", spark.createDataFrame([(0, None, "t"), (1, None, "t")], "pos int, _id string, t string"), token="one")
+    assert indexes.documents("kinds").count() == 3 and indexes.documents("kinds").where("n = 5 and b and l[0] = 'x' and m['k'] = 1.5").count() == 1
+    assert [x["_id"] for x in indexes.search("kinds", "*", method="LEXICAL", filter="n:[5 TO *] AND b:true").collect()] == ["a"]
+
+
+def test_bad_vectors_and_mappings(spark, indexes):
+    fields = (Field("t", "text"), Field("u", "text"), Field("both", "multimodal_combination", dependent_fields={"t": 0.5, "u": 0.5}), Field("v", "custom_vector"))
+    indexes.create_index(IndexSpec("mixed", fields, ("both", "v"), mode="structured", dimensions=2))
+    kinds = "pos int, _id string, t string, u string, v struct<content:string,vector:array<float>>"
+    rows = spark.createDataFrame([(0, "a", "x", "y", ("c", [0.0, 0.0])), (1, "b", "x", "y", ("c", [3.0, 4.0])), (2, "c", "x", "y", ("c", [1.0, None]))], kinds)
+    assert {x["_id"]: x["status"] for x in indexes.add_documents("mixed", rows).collect()} == {"a": 400, "b": 200, "c": 400}
+    of = lambda: indexes.chunks("mixed").where("field = 'both'").first()["embedding"]
+    even = of()
+    indexes.add_documents("mixed", rows, mappings={"both": {"t": 1.0, "u": 0.0}})
+    assert of() != even and max(abs(a - b) for a, b in zip(of(), indexes.embed("mixed", ["x"]).first()["embedding"], strict=True)) < 1e-6
+    with pytest.raises(ValueError):
+        indexes.add_documents("mixed", rows, mappings={"both": {"v": 1.0}})
+
+
 def test_growing_schema(spark, indexes):
     indexes.create_index(IndexSpec("grows", tensor_fields=("text",), dimensions=8))
     indexes.add_documents("grows", spark.createDataFrame([(0, "a", "one")], "pos int, _id string, text string"))
