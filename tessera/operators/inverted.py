@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.operators.lexical import AGGREGATORS, B, K1, KeywordQuery, with_tokens, words_of
 
 #: Buckets of terms; a query reads as many as it has terms.
-BUCKETS = 64
+BUCKETS = 16
 
 
 def bucket_of(term):

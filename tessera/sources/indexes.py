@@ -65,7 +65,8 @@ class Indexes:
         chunks.write.partitionBy("field").parquet(f"{self.root}/{spec.name}/v{version}/chunks")
         if fields := self._indexed(spec):
             written = self.spark.read.schema(spec.schema()).parquet(f"{self.root}/{spec.name}/v{version}/documents")
-            terms = inverted.index_terms(written, fields).repartition("bucket").sortWithinPartitions("bucket", "term")
+            # By range, so that a frequent term is in several files.
+            terms = inverted.index_terms(written, fields).repartitionByRange("bucket", "term", "_id").sortWithinPartitions("bucket", "term")
             terms.write.partitionBy("bucket").parquet(f"{self.root}/{spec.name}/v{version}/terms")
             inverted.index_lengths(written, fields).write.parquet(f"{self.root}/{spec.name}/v{version}/lengths")
         self._note(spec.name, version, spec)
