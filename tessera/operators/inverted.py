@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
 from tessera.operators.lexical import AGGREGATORS, B, K1, KeywordQuery, with_tokens, words_of
 
 #: Buckets of terms; a query reads as many as it has terms.
@@ -40,6 +41,20 @@ def index_lengths(docs: DataFrame, fields: Sequence[str]) -> DataFrame:
     return sums.select(each.alias("e")).select("e.*")
 
 
+def with_words(docs: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """`docs` with _words, the number of words of each field; null where the field is."""
+    sizes = [F.when(F.col(f"`{x}`").isNotNull(), F.size(X.tokens(F.col(f"`{x}`")))) if x in docs.columns else F.lit(None).cast("int") for x in fields]
+    return docs.withColumn("_words", F.array(*sizes) if sizes else F.array().cast("array<int>"))
+
+
+def lengths_of_words(counted: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """As index_lengths, from (_words, sign): rows of sign -1 are taken off, so that the lengths of several changes add up."""
+    of = lambda k, x: F.coalesce(F.sum(F.when(F.col("_words")[k].isNotNull(), F.col("sign") * x)), F.lit(0)).cast("long")
+    sums = counted.agg(F.coalesce(F.sum("sign"), F.lit(0)).cast("long").alias("n"), *(y for k, _ in enumerate(fields) for y in (of(k, F.lit(1)).alias(f"r{k}"), of(k, F.col("_words")[k]).alias(f"l{k}"))))
+    each = F.explode(F.array(*(F.struct(F.lit(x).alias("field"), F.col("n").alias("documents"), F.col(f"r{k}").alias("rows"), F.col(f"l{k}").alias("length")) for k, x in enumerate(fields))))
+    return sums.select(each.alias("e")).select("e.*")
+
+
 def _phrase(places: dict[str, F.Column], words: Sequence[str]):
     """Whether a place of the first word has the others after it."""
     return F.exists(places[words[0]], lambda p: reduce(lambda a, b: a & b, [F.array_contains(places[w], p + k) for k, w in enumerate(words) if k], F.lit(True)))

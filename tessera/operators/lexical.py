@@ -60,15 +60,24 @@ def _tokens(field: str) -> Column:
     return F.col(f"tokens_{field}")
 
 
-def with_tokens(docs: DataFrame, fields: Sequence[str]) -> DataFrame:
+def with_tokens(docs: DataFrame, fields: Sequence[str], words: Sequence[Sequence[str]] = ()) -> DataFrame:
+    """`docs` with the tokens of each field.  With `words`, only rows of which a field has all words of one of them as substrings, which is
+    far faster to see than tokens are to make.
+    """
     missing = [x for x in fields if x not in docs.columns]
     if missing:
         raise ValueError(f"no such text fields: {', '.join(missing)}")
     if not fields:
         return docs
     # A generated row is no expression that filters or projections above could take in: each text is cut once.
-    made = F.inline(F.array(F.struct(*(X.tokens(F.col(f"`{x}`")).alias(f"tokens_{x}") for x in fields))))
-    return docs.select("*", made)
+    def made(text, prefix: str) -> Column:
+        return F.inline(F.array(F.struct(*(text(x).alias(f"{prefix}_{x}") for x in fields))))
+
+    if not words:
+        return docs.select("*", made(lambda x: X.tokens(F.col(f"`{x}`")), "tokens"))
+    lowered = docs.select("*", made(lambda x: F.lower(F.coalesce(F.col(f"`{x}`"), F.lit(""))), "lower"))
+    may = _any([reduce(lambda a, b: a & b, [F.col(f"`lower_{x}`").contains(w) for w in group]) for x in fields for group in words if group])
+    return lowered.where(may).select(*docs.columns, made(lambda x: X.tokens(F.col(f"`lower_{x}`")), "tokens"))
 
 
 def _times(field: str, term: str) -> Column:
@@ -141,7 +150,7 @@ def bm25(docs: DataFrame, query: KeywordQuery, fields: Sequence[str], *, aggrega
     if query.everything or not terms:
         return (rows if query.everything else rows.where(F.lit(False))).withColumn("_score", F.lit(0.0)).select(*docs.columns, "_score")
     stats = statistics(with_tokens(docs.select(*(F.col(f"`{x}`") for x in fields if x in docs.columns)), fields), fields, terms, df_scope=df_scope)
-    found = with_tokens(rows, fields).where(matches(query, fields))
+    found = with_tokens(rows, fields, [words_of(x) for x in (*query.optional, *query.required)]).where(matches(query, fields))
     scores = [field_score(stats, fields, k, terms) for k in range(len(fields))]
     score = F.greatest(*scores) if aggregator == "max" and len(scores) > 1 else reduce(lambda a, b: a + b, scores)
     return found.withColumn("_score", score / len(fields) if aggregator == "avg" else score).select(*docs.columns, "_score")

@@ -1,18 +1,22 @@
 """Indexes as Parquet tables in one folder, and what users do with them.
 
-`<root>/_indexes` has a row for each change of an index; the row of its largest version counts.  Documents,
-chunks and the inverted index of version n are the folders `<root>/<name>/v<n>/documents`, `.../chunks`, `.../terms` and `.../lengths`:
-a change writes new folders and then its row, so that readers see either state.  An index has one writer at a time.
+`<root>/_indexes` has a row for each change of an index; the row of its largest version counts.  What version n adds stands in
+`<root>/<name>/<part>/_version=n`, where the parts are documents, chunks, terms (the inverted index), lengths (sums of words, below
+zero for what goes) and gone (keys whose earlier rows count no more).  A change writes its folders and then its row, so that readers
+see either state, and it writes its own rows only: readers take those of all versions since the last whole one but for what is gone.
+Once such changes hold half as many rows as the whole version that they follow, the next one writes all anew, so that a row is written a few
+times however many batches come.  An index has one writer at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import replace
+from dataclasses import dataclass
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tessera.functions.scoring import ScoreModifiers
@@ -25,8 +29,27 @@ from tessera.operators.search import CustomVector, Hybrid, hybrid_search, lexica
 from tessera.plans.filters import structured_filter
 from tessera.plans.spec import IndexSpec
 
-_LOG = "name string, version long, dropped boolean, spec string"
+_LOG = "name string, version long, dropped boolean, spec string, base long, rows long"
 _CHUNKS = "_id string, field string, chunk_idx int, chunk string, embedding array<float>"
+_TERMS = "field string, term string, _id string, tf long, dl long, places array<int>, bucket int"
+_LENGTHS = "field string, documents long, rows long, length long"
+_GONE = "_id string, vectors boolean"
+#: Changes after a whole version at most, as each is a folder to list; the next one writes all anew.
+MOST_CHANGES = 500
+
+
+@dataclass(frozen=True)
+class State:
+    """An index at one version: `base` is the last whole one, `rows` has the rows that each version since then wrote or took away."""
+
+    version: int
+    base: int
+    spec: IndexSpec
+    rows: tuple[int, ...]
+
+    @property
+    def changed_much(self) -> bool:
+        return 2 * sum(self.rows[1:]) >= self.rows[0] or len(self.rows) > MOST_CHANGES
 
 
 class Indexes:
@@ -46,30 +69,76 @@ class Indexes:
         last = self._log().groupBy("name").agg(F.max_by(F.struct("version", "dropped", "spec"), "version").alias("last"))
         return last.where(~F.col("last.dropped")).select("name", "last.version", "last.spec")
 
-    def _current(self, name: str) -> tuple[int, IndexSpec]:
-        rows = self.list_indexes().where(F.col("name") == name).collect()
-        if not rows:
+    def _state(self, name: str) -> State:
+        mine = self._log().where(F.col("name") == name)
+        last = mine.orderBy(F.desc("version")).limit(1).collect()
+        if not last or last[0]["dropped"]:
             raise KeyError(f"no index {name}")
-        return rows[0]["version"], IndexSpec.from_json(rows[0]["spec"])
+        since = mine.where(F.col("version") >= last[0]["base"]).select("version", "rows").orderBy("version").collect()  # MOST_CHANGES bounds them
+        return State(last[0]["version"], last[0]["base"], IndexSpec.from_json(last[0]["spec"]), tuple(x["rows"] for x in since))
 
-    def _note(self, name: str, version: int, spec: IndexSpec | None) -> None:
-        row = [(name, version, spec is None, spec.to_json() if spec else None)]
+    def _note(self, name: str, version: int, spec: IndexSpec | None, base: int = 0, rows: int = 0) -> None:
+        row = [(name, version, spec is None, spec.to_json() if spec else None, base, rows)]
         self.spark.createDataFrame(row, _LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/_indexes")
 
     def _last_version(self, name: str) -> int:
         return self._log().where(F.col("name") == name).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
 
-    def _write(self, spec: IndexSpec, docs: DataFrame, chunks: DataFrame) -> None:
-        version = self._last_version(spec.name) + 1
-        docs.write.parquet(f"{self.root}/{spec.name}/v{version}/documents")
-        chunks.write.partitionBy("field").parquet(f"{self.root}/{spec.name}/v{version}/chunks")
-        if fields := self._indexed(spec):
-            written = self.spark.read.schema(spec.schema()).parquet(f"{self.root}/{spec.name}/v{version}/documents")
+    # -- the parts of an index
+
+    def _folder(self, name: str, part: str, version: int) -> str:
+        return f"{self.root}/{name}/{part}/_version={version}"
+
+    def _rows(self, name: str, part: str, schema: T.StructType | str, first: int, last: int) -> DataFrame:
+        """The rows of a part that versions `first` to `last` wrote, with _version."""
+        schema = T.StructType([*(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields, T.StructField("_version", T.LongType())])
+        folders = [self._folder(name, part, x) for x in range(first, last + 1)]
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}/{part}").parquet(*folders)
+
+    def _live(self, state: State, part: str, schema: T.StructType | str) -> DataFrame:
+        """The rows of a part that count.  Keys that are gone are few next to the whole version, so that they are what moves."""
+        name = state.spec.name
+        rows = self._rows(name, part, schema, state.base, state.version)
+        if state.version == state.base:
+            return rows.drop("_version")
+        gone = self._rows(name, "gone", _GONE, state.base + 1, state.version)
+        gone = gone.where("vectors") if part == "chunks" else gone
+        last = gone.groupBy(F.col("_id").alias("gone_id")).agg(F.max("_version").alias("until"))
+        return rows.join(last, (F.col("_id") == F.col("gone_id")) & (F.col("_version") < F.col("until")), "left_anti").drop("_version")
+
+    def _documents(self, state: State, spec: IndexSpec | None = None) -> DataFrame:
+        return self._live(state, "documents", (spec or state.spec).schema())
+
+    def _chunks(self, state: State) -> DataFrame:
+        return self._live(state, "chunks", _CHUNKS)
+
+    def _write(self, spec: IndexSpec, docs: DataFrame, chunks: DataFrame, state: State | None = None, gone: DataFrame | None = None) -> None:
+        """A new version: `docs` and `chunks` are all rows, or, with `gone` (_id, vectors), what stands in place of the rows of these keys.
+
+        Where vectors is false the chunks of a key stay.
+        """
+        version, name, fields = self._last_version(spec.name) + 1, spec.name, self._indexed(spec)
+        base, removed = version, None
+        if gone is not None:
+            gone.select("_id", "vectors").distinct().write.parquet(self._folder(name, "gone", version))
+            gone = self._rows(name, "gone", _GONE, version, version).drop("_version")
+            if state.changed_much or fields != self._indexed(state.spec):
+                docs = self._documents(state, spec).join(gone, "_id", "left_anti").unionByName(docs, allowMissingColumns=True)
+                chunks = self._chunks(state).join(gone.where("vectors"), "_id", "left_anti").unionByName(chunks)
+            else:
+                base, removed = state.base, self._live(state, "documents", "_id string, _words array<int>").join(gone, "_id", "left_semi")
+        inverted.with_words(docs, fields).write.parquet(self._folder(name, "documents", version))
+        chunks.write.partitionBy("field").parquet(self._folder(name, "chunks", version))
+        written = self._rows(name, "documents", spec.schema().add("_words", T.ArrayType(T.IntegerType())), version, version)
+        if fields:
             # By range, so that a frequent term is in several files.
             terms = inverted.index_terms(written, fields).repartitionByRange("bucket", "term", "_id").sortWithinPartitions("bucket", "term")
-            terms.write.partitionBy("bucket").parquet(f"{self.root}/{spec.name}/v{version}/terms")
-            inverted.index_lengths(written, fields).write.parquet(f"{self.root}/{spec.name}/v{version}/lengths")
-        self._note(spec.name, version, spec)
+            terms.write.partitionBy("bucket").parquet(self._folder(name, "terms", version))
+            signed = written.select("_words", F.lit(1).alias("sign"))
+            signed = signed if removed is None else signed.unionByName(removed.select("_words", F.lit(-1).alias("sign")))
+            inverted.lengths_of_words(signed, fields).write.parquet(self._folder(name, "lengths", version))
+        rows = written.count() + (0 if removed is None else gone.count())
+        self._note(name, version, spec, base, rows)
 
     @staticmethod
     def _indexed(spec: IndexSpec) -> list[str]:
@@ -78,12 +147,12 @@ class Indexes:
 
     def _keyword_scores(self, name: str, q: str, fields: Sequence[str]) -> DataFrame | None:
         """(_id, _score) from the inverted index, or None where a query or its fields have to be read from the documents."""
-        version, spec = self._current(name)
-        if KeywordQuery.of(q).everything or not fields or {*fields} - {*self._indexed(spec)}:
+        state = self._state(name)
+        if KeywordQuery.of(q).everything or not fields or {*fields} - {*self._indexed(state.spec)}:
             return None
-        read = lambda part, schema: self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v{version}/{part}")
-        terms = read("terms", "field string, term string, _id string, tf long, dl long, places array<int>, bucket int")
-        return inverted.index_search(terms, read("lengths", "field string, documents long, rows long, length long"), q, list(fields))
+        lengths = self._rows(name, "lengths", _LENGTHS, state.base, state.version)
+        sums = lengths.groupBy("field").agg(*(F.sum(x).alias(x) for x in ("documents", "rows", "length")))
+        return inverted.index_search(self._live(state, "terms", _TERMS), sums, q, list(fields))
 
     def create_index(self, spec: IndexSpec) -> None:
         if self.list_indexes().where(F.col("name") == spec.name).count():
@@ -95,26 +164,27 @@ class Indexes:
             self.create_index(spec)
 
     def delete_index(self, name: str) -> None:
-        version, _ = self._current(name)
-        self._note(name, version + 1, None)
+        self._note(name, self._state(name).version + 1, None)
 
     def delete_indexes(self, names: Sequence[str]) -> None:
         for name in names:
             self.delete_index(name)
 
     def settings(self, name: str) -> IndexSpec:
-        return self._current(name)[1]
+        return self._state(name).spec
 
     # -- documents
 
     def documents(self, name: str) -> DataFrame:
-        version, spec = self._current(name)
-        return self.spark.read.schema(spec.schema()).parquet(f"{self.root}/{name}/v{version}/documents")
+        return self._documents(self._state(name))
 
     def chunks(self, name: str) -> DataFrame:
-        version, _ = self._current(name)
-        read = self.spark.read.schema(_CHUNKS).option("recursiveFileLookup", "false")
-        return read.parquet(f"{self.root}/{name}/v{version}/chunks").select("_id", "field", "chunk_idx", "chunk", "embedding")
+        return self._chunks(self._state(name))
+
+    def compact(self, name: str) -> None:
+        """A whole version of what counts now; changes do this by themselves once they are many."""
+        state = self._state(name)
+        self._write(state.spec, self._documents(state), self._chunks(state))
 
     def add_documents(self, name: str, batch: DataFrame, *, reuse: bool = False, token: str | None = None, mappings: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
         """Adds or replaces whole documents; of `batch` (pos, fields) the last row of each _id counts.  Gives (pos, _id, status, error).
@@ -123,7 +193,8 @@ class Indexes:
         made of the row and `token`, the batch's name: a batch that is run again under one name gives the same documents.
         `mappings` has other weights of combinations' parts for this batch.
         """
-        _, spec = self._current(name)
+        state = self._state(name)
+        spec = state.spec
         if "pos" not in batch.columns:
             batch = batch.withColumn("pos", F.monotonically_increasing_id())
         batch = D.last_of_each(D.with_ids(batch, token or uuid4().hex))
@@ -135,11 +206,10 @@ class Indexes:
         good = checked.where("status = 200").drop("pos", "status", "error")
         texts = [x for x in grown.tensor_fields if x in batch.columns and dict(batch.dtypes)[x] == "string"]
         parts = [E.chunked(good, texts, by=grown.split_method, length=grown.split_length, overlap=grown.split_overlap)] if texts else []
-        old_docs, old_chunks = self.documents(name), self.chunks(name)
         made = None
         if parts:
             new = parts[0].withColumn("embedding", F.lit(None).cast("array<float>"))
-            new = D.reuse_embeddings(new, old_chunks) if reuse else new
+            new = D.reuse_embeddings(new, self._chunks(state)) if reuse else new
             made = E.embedded(new, self.embedders.get(grown.model, E.HashEmbedder(grown.dimensions)), prefix=grown.chunk_prefix, normalise=grown.normalize_embeddings)
         for x in grown.fields:
             if x.kind == "custom_vector" and x.name in batch.columns:
@@ -155,8 +225,8 @@ class Indexes:
                     weights |= other
                 own = E.combined(pieces, weights, name=x.name, normalise=grown.normalize_embeddings)
                 made = own if made is None else made.unionByName(own)
-        kept = old_chunks.join(good.select("_id"), "_id", "left_anti")
-        self._write(grown, D.upsert(old_docs, good), kept if made is None else kept.unionByName(made.withColumns({"embedding": F.col("embedding").cast("array<float>"), "chunk_idx": F.col("chunk_idx").cast("int")})))
+        made = self.spark.createDataFrame([], _CHUNKS) if made is None else made.select(*(F.col(x.name).cast(x.dataType) for x in T.StructType.fromDDL(_CHUNKS)))
+        self._write(grown, good, made, state, good.select("_id", F.lit(True).alias("vectors")))
         result = checked.select("pos", "_id", "status", "error").persist()
         result.count()
         checked.unpersist()
@@ -164,12 +234,18 @@ class Indexes:
 
     def update_documents(self, name: str, patches: DataFrame) -> DataFrame:
         """Changes fields of documents that exist; tensor fields, and what combinations are made of, can't be changed."""
-        _, spec = self._current(name)
+        state = self._state(name)
+        spec = state.spec
         fixed = {*spec.tensor_fields} | {y for x in spec.fields for y in x.dependent_fields or ()}
         if bad := fixed & {*patches.columns}:
             raise ValueError(f"these fields have vectors: {', '.join(sorted(bad))}")
-        docs, status = D.partial_update(self.documents(name), patches)
-        self._write(spec, docs, self.chunks(name))
+        patches = patches.persist()
+        asked = self._documents(state).join(patches.select("_id"), "_id", "left_semi")
+        docs, status = D.partial_update(asked, patches)
+        status = status.persist()
+        status.count()
+        self._write(spec, docs, self.spark.createDataFrame([], _CHUNKS), state, patches.select("_id", F.lit(False).alias("vectors")))
+        patches.unpersist()
         return status
 
     def get_document(self, name: str, key: str) -> DataFrame:
@@ -180,16 +256,15 @@ class Indexes:
         return D.get_documents(self.documents(name), ids).orderBy("pos")
 
     def delete_documents(self, name: str, keys: Sequence[str]) -> DataFrame:
-        _, spec = self._current(name)
+        state = self._state(name)
         ids = self.spark.createDataFrame([(x,) for x in keys], "_id string")
-        docs, status = D.delete_documents(self.documents(name), ids)
-        self._write(spec, docs, self.chunks(name).join(ids, "_id", "left_anti"))
-        return status
+        self._write(state.spec, self.spark.createDataFrame([], state.spec.schema()), self.spark.createDataFrame([], _CHUNKS), state, ids.withColumn("vectors", F.lit(True)))
+        return ids.withColumn("status", F.lit(200))
 
     def delete_all_documents(self, name: str) -> int:
-        _, spec = self._current(name)
-        count = self.documents(name).count()
-        self._write(replace(spec), self.documents(name).limit(0), self.chunks(name).limit(0))
+        state = self._state(name)
+        count = self._documents(state).count()
+        self._write(state.spec, self.spark.createDataFrame([], state.spec.schema()), self.spark.createDataFrame([], _CHUNKS))
         return count
 
     def stats(self, name: str) -> DataFrame:

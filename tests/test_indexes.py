@@ -211,3 +211,44 @@ def test_embedders(spark):
         E.embed_query("text", made, context=[([0.0] * 8, 1.0)])
     v = E.embed_query({"a": 2.0, "b": -1.0}, made)
     assert abs(sum(x * x for x in v) - 1) < 1e-9
+
+
+def test_changes_write_their_own_rows_only(spark, indexes):
+    """Any row of changes gives what whole rewrites give, to reads, counts and both kinds of search; a change doesn't write the rest."""
+    import random
+
+    from tessera.operators.search import lexical_search
+
+    indexes.create_index(SPEC)
+    random.seed(5)
+    title = lambda: " ".join(random.choice(["red", "blue", "dogs", "cats", "fish"]) for _ in range(random.randint(1, 5)))
+    held = {f"d{k}": (title(), k) for k in range(80)}
+    indexes.add_documents("my-index", batch(spark, *((k, *v) for k, v in held.items())))
+    whole = indexes._state("my-index").version
+    for step in range(5):
+        keys = random.sample(sorted(held), 2)
+        if step == 1:
+            indexes.delete_documents("my-index", [*keys, "absent"])
+            held = {k: v for k, v in held.items() if k not in keys}
+        elif step == 2:
+            indexes.update_documents("my-index", spark.createDataFrame([(k, 900) for k in (*keys, "absent")], "_id string, year int"))
+            held |= {k: (held[k][0], 900) for k in keys}
+        else:
+            new = {k: (title(), 100 + step) for k in (*keys, f"n{step}")}
+            indexes.add_documents("my-index", batch(spark, *((k, *v) for k, v in new.items())))
+            held |= new
+        state = indexes._state("my-index")
+        assert state.base == whole and spark.read.parquet(indexes._folder("my-index", "documents", state.version)).count() <= 3
+        docs = indexes.documents("my-index")
+        assert {x["_id"]: (x["title"], x["year"]) for x in docs.collect()} == held
+        assert {(x["_id"], x["chunk"]) for x in indexes.chunks("my-index").collect()} == {(k, v[0]) for k, v in held.items()}
+    for q in ("red dogs", '"blue cats"', "fish fish"):
+        found = {x["_id"]: round(x["_score"], 9) for x in indexes.search("my-index", q, method="LEXICAL", limit=100).collect()}
+        assert found and found == {x["_id"]: round(x["_score"], 9) for x in lexical_search(docs, q, ["title"], limit=100).collect()}
+    assert {x["_id"] for x in indexes.search("my-index", "red", limit=100).collect()} == {*held}
+    indexes.compact("my-index")
+    state = indexes._state("my-index")
+    assert state.base == state.version and {x["_id"]: (x["title"], x["year"]) for x in indexes.documents("my-index").collect()} == held
+    for k in range(4):  # half as many changed rows as the whole version has: all is written anew
+        indexes.add_documents("my-index", batch(spark, *((f"d{j}", "new", k) for j in range(20))))
+    assert indexes._state("my-index").base > state.version and indexes.documents("my-index").count() == len({*held} | {f"d{j}" for j in range(20)})
