@@ -41,13 +41,17 @@ def upsert(old: DataFrame, new: DataFrame, *, key: str = "_id") -> DataFrame:
 def partial_update(docs: DataFrame, patches: DataFrame, *, key: str = "_id") -> tuple[DataFrame, DataFrame]:
     """Documents with the fields that a patch has, and (key, status): 200, or 404 for keys that no document has.
 
-    A null in a patch changes nothing.  Map fields change key by key.  Nothing is created.
+    A null in a patch changes nothing.  Map fields change key by key.  Nothing is created.  Of patches that share a key the last
+    value of each field counts, by `pos` if they have it (and the documents don't), else by their order.
     """
     kinds = {x.name: x.dataType for x in docs.schema}
-    fields = [x for x in patches.columns if x != key]
+    placed = "pos" in patches.columns and "pos" not in kinds
+    fields = [x for x in patches.columns if x != key and not (placed and x == "pos")]
     if unknown := [x for x in fields if x not in kinds]:
         raise ValueError(f"no such fields: {', '.join(unknown)}")
-    given = patches.select(key, *(F.col(f"`{x}`").alias(f"new_{x}") for x in fields))
+    last = [F.max_by(F.col(f"`{x}`"), F.when(F.col(f"`{x}`").isNotNull(), F.col("at_"))).alias(f"new_{x}") for x in fields]
+    by_key = patches.withColumn("at_", F.col("pos") if placed else F.monotonically_increasing_id()).groupBy(key)
+    given = by_key.agg(*last) if last else by_key.agg(F.count("*").alias("n_")).drop("n_")
 
     def changed(x: str) -> Column:
         old, new = F.col(f"`{x}`"), F.col(f"new_{x}")
@@ -57,7 +61,7 @@ def partial_update(docs: DataFrame, patches: DataFrame, *, key: str = "_id") ->
         return F.coalesce(new, old)
 
     updated = docs.join(given, key, "left").select(key, *(changed(x).alias(x) if x in fields else F.col(f"`{x}`") for x in docs.columns if x != key))
-    status = patches.select(key).join(docs.select(key, F.lit(200).alias("status")), key, "left").select(key, F.coalesce("status", F.lit(404)).alias("status"))
+    status = given.select(key).join(docs.select(key, F.lit(200).alias("status")), key, "left").select(key, F.coalesce("status", F.lit(404)).alias("status"))
     return updated, status
 
 

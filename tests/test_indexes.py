@@ -182,6 +182,15 @@ def test_map_fields_change_by_key(spark):
     assert {x["_id"]: x["m"] for x in D.partial_update(docs, patches)[0].collect()} == {"a": {"x": 1, "y": 5, "z": 6}, "b": {"q": 1}}
 
 
+def test_patches_that_share_a_key(spark):
+    docs = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "_id string, n int, t string")
+    patches = spark.createDataFrame([(2, "a", 7, None), (0, "a", 5, "first"), (1, "q", 1, "z"), (3, "q", 1, "z")], "pos int, _id string, n int, t string")
+    updated, status = D.partial_update(docs, patches)
+    assert sorted(map(tuple, updated.collect())) == [("a", 7, "first"), ("b", 2, "y")]
+    assert sorted(map(tuple, status.collect())) == [("a", 200), ("q", 404)]
+    assert sorted(map(tuple, D.partial_update(docs, patches.select("_id"))[0].collect())) == [("a", 1, "x"), ("b", 2, "y")]
+
+
 def test_stream_of_batches(spark, indexes, tmp_path):
     indexes.create_index(SPEC)
     source = str(tmp_path / "in")
