@@ -4,8 +4,8 @@
 text: an ID3v2.4 tag, a frame with a `Xing` table of the stream's frames, bytes and seek points, then
 one frame of 672 bytes for each 576 bytes of payload.  The side information declares no
 coded samples, so that all main data is ancillary: players hear silence, and the payload is kept
-bit by bit.  `read` takes any bytes: it skips and parses tags, finds frame headers again after
-foreign bytes, verifies checksums, and gives exact durations and the offset of every frame.
+bit by bit.  `read` takes any bytes: it skips and parses tags, reads `Xing`, `Info` and `VBRI` tables, finds
+frame headers again after foreign bytes, verifies checksums, and gives exact durations and the offset of every frame.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import column_bytes
+from tessera.llm.words import column_bytes, slices
 
 UNIT = 576
 _FRAME, _SIDE = 672, 17
@@ -35,6 +35,10 @@ _RATES = {
 }
 #: Fixed values of the format: samples a second by index, MPEG-1; MPEG-2 has half of it, MPEG-2.5 a quarter.
 _HERTZ = (44100, 48000, 32000)
+#: Parts of a second in which the samples of every rate, and of its half and quarter, are whole: the rates' least common multiple.
+TICKS = 14_112_000
+#: Bytes of texts or streams that a worker turns into one Arrow batch; a larger one makes a batch by itself.
+BATCH_BYTES = 32 << 20
 
 
 def _lengths() -> tuple[np.ndarray, ...]:
@@ -158,12 +162,56 @@ def frame_offsets(data: np.ndarray, at: int, end: int) -> tuple[list[int], int]:
     return out, lost
 
 
+def _int(stream: bytes, at: int, width: int) -> int:
+    return int.from_bytes(stream[at : at + width], "big")
+
+
+def read_table(stream: bytes, frame: int, main: int) -> dict | None:
+    """The table of the frame at `frame`, whose main data starts at `main`; null if it has none.
+
+    Keys: table (its name), table_frames, table_bytes, table_quality (null where it is left out) and seek_points: bytes
+    from the frame's start to the places that the table names, which divide the stream's time evenly.
+    """
+    out = {"table": None, "table_frames": None, "table_bytes": None, "table_quality": None, "seek_points": []}
+    if stream[main : main + 4] in (b"Xing", b"Info"):
+        flags, at = _int(stream, main + 4, 4), main + 8
+        for bit, name in ((1, "table_frames"), (2, "table_bytes")):
+            if flags & bit:
+                out[name], at = _int(stream, at, 4), at + 4
+        if flags & 4:
+            out["seek_points"], at = [x * (out["table_bytes"] or 0) // 256 for x in stream[at : at + 100]], at + 100
+        if flags & 8:
+            out["table_quality"] = _int(stream, at, 4)
+        return out | {"table": stream[main : main + 4].decode()}
+    at = frame + 36  # always behind 32 bytes, whatever the side information's size
+    if stream[at : at + 4] == b"VBRI":
+        out |= {"table": "VBRI", "table_quality": _int(stream, at + 8, 2), "table_bytes": _int(stream, at + 10, 4), "table_frames": _int(stream, at + 14, 4)}
+        entries, scale, width = (_int(stream, at + k, 2) for k in (18, 20, 22))
+        if 1 <= width <= 4:
+            entries = min(entries, (len(stream) - at - 26) // width)
+            out["seek_points"] = (np.cumsum([_int(stream, at + 26 + k * width, width) for k in range(entries)]) * scale).astype(np.int64).tolist()
+        return out
+    return None
+
+
+def seek_runs(offsets: list[int]) -> str:
+    """All offsets as runs of equal steps, `first+step*count` each, joined by commas: 10, 20, 30, 37 is `10+10*3,37+0*1`."""
+    places, out, k = np.array(offsets, np.int64), [], 0
+    ends = np.append(np.flatnonzero(np.diff(places, 2)) + 1, len(places) - 1) if len(places) else []
+    for end in map(int, ends):
+        if end >= k:
+            out.append(f"{places[k]}+{places[k + 1] - places[k] if end > k else 0}*{end - k + 1}")
+            k = end + 1
+    return ",".join(out)
+
+
 def read_stream(stream: bytes) -> dict:
     """What a stream holds.
 
     Keys: payload (the first 576 bytes of main data of each frame but the table's), told (the tag's
-    byte count or null), offsets (of the frames that sound), samples, hertz, table_frames, table_bytes
-    (null without a table), checksums_good, checksums_bad, found_again.
+    byte count or null), offsets (of the frames that sound), seek (the same as seek_runs), samples, hertz (the first
+    frame's), ticks (the duration in 1/14,112,000 of a second, exact also if rates change), those of read_table
+    (null or empty without a table), checksums_good, checksums_bad, found_again.
     """
     data = np.frombuffer(stream, np.uint8)
     at, told = _skip_tag(stream)
@@ -172,7 +220,8 @@ def read_stream(stream: bytes) -> dict:
     if end - at >= 128 and stream[-128:-125] == b"TAG" and not (offsets and offsets[-1] + _frame_length(data, offsets[-1]) == end):
         end -= 128  # a tag at the end, and not the inside of a last frame
         offsets, lost = frame_offsets(data, at, end)
-    out = {"payload": b"", "told": told, "offsets": offsets, "samples": 0, "hertz": 0, "table_frames": None, "table_bytes": None, "checksums_good": 0, "checksums_bad": 0, "found_again": lost}
+    out = {"payload": b"", "told": told, "offsets": offsets, "seek": "", "samples": 0, "hertz": 0, "ticks": 0, "checksums_good": 0, "checksums_bad": 0, "found_again": lost}
+    out |= {"table": None, "table_frames": None, "table_bytes": None, "table_quality": None, "seek_points": []}
     if not offsets:
         return out
     places = np.array(offsets)
@@ -190,16 +239,14 @@ def read_stream(stream: bytes) -> dict:
         out["checksums_good"] += int(right.sum())
         out["checksums_bad"] += int((~right).sum())
     main = places + 4 + 2 * guarded + side
-    head = stream[main[0] : main[0] + 8]
-    if head[:4] in (b"Xing", b"Info"):
-        flags, at = int.from_bytes(head[4:8], "big"), int(main[0]) + 8
-        for bit, name in ((1, "table_frames"), (2, "table_bytes")):
-            if flags & bit:
-                out[name] = int.from_bytes(stream[at : at + 4], "big")
-                at += 4
+    table = read_table(stream, int(places[0]), int(main[0]))
+    if table:
+        out |= table
         places, main, kind = places[1:], main[1:], kind[1:]
     out["offsets"] = places.tolist()
+    out["seek"] = seek_runs(out["offsets"])
     out["samples"] = int(_SAMPLES[kind].sum())
+    out["ticks"] = int((_SAMPLES[kind].astype(np.int64) * (TICKS // _RATE[kind])).sum())
     out["hertz"] = int(_RATE[kind[0]]) if len(kind) else 0
     if len(main):
         main = main[main + UNIT <= end]
@@ -215,10 +262,9 @@ def read_stream(stream: bytes) -> dict:
 def _stored(batches):
     for batch in batches:
         data, offsets = column_bytes(batch.column(1))
-        texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        for a in range(0, len(texts), 512):  # smaller batches: a stream is larger than its text
-            some = texts[a : a + 512]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(some)), pa.array([write_stream(x) for x in some], pa.binary())], ["doc_id", "media"])
+        for a, b in slices(offsets, BATCH_BYTES):
+            streams = [write_stream(data[x:y].tobytes()) for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(streams, pa.binary())], ["doc_id", "media"])
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -231,19 +277,25 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_stored, "doc_id long, media binary")
 
 
-_READ = "doc_id long, n_bytes long, payload binary, media_bytes long, media_sha256 string, samples long, hertz long, offsets array<long>, table_frames long, table_bytes long, checksums_good long, checksums_bad long, found_again long"
+_READ = (
+    "doc_id long, n_bytes long, payload binary, media_bytes long, media_sha256 string, samples long, hertz long, ticks long, offsets array<long>, seek string, table string, table_frames long, "
+    "table_bytes long, table_quality long, seek_points array<long>, checksums_good long, checksums_bad long, found_again long"
+)
+_ARROW = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
 
 
 def _read(batches):
+    columns = [x.split() for x in _READ.split(", ")]
     for batch in batches:
-        rows = []
-        for media in batch.column(1).to_pylist():
-            media = media or b""
-            x = read_stream(media)
-            rows.append(x | {"n_bytes": x.pop("told"), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest()})
-        names = [x.split()[0] for x in _READ.split(", ")][1:]
-        kinds = {"payload": pa.binary(), "media_sha256": pa.string(), "offsets": pa.list_(pa.int64())}
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in rows], kinds.get(k, pa.int64())) for k in names)], ["doc_id", *names])
+        media = batch.column(1)
+        ends = np.cumsum([0, *(len(x.as_buffer()) if x.is_valid else 0 for x in media)])
+        for a, b in slices(ends, BATCH_BYTES):
+            rows = []
+            for stream in media.slice(a, b - a).to_pylist():
+                stream = stream or b""
+                x = read_stream(stream)
+                rows.append(x | {"n_bytes": x.pop("told"), "media_bytes": len(stream), "media_sha256": hashlib.sha256(stream).hexdigest()})
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array([x[k] for x in rows], _ARROW[t]) for k, t in columns[1:])], [k for k, _ in columns])
 
 
 def read(media: DataFrame) -> DataFrame:
@@ -252,16 +304,13 @@ def read(media: DataFrame) -> DataFrame:
 
 
 def digests(streams: DataFrame) -> DataFrame:
-    """The payload's and the stream's digests, and the features as one string, from read()."""
+    """The payload's and the stream's digests, and the features as one string, from read(): the exact duration, and as `seek` every frame's offset."""
     length = F.length("payload").cast("long")
     tail = F.expr("substring(payload, greatest(length(payload) - 31, 1), 32)")
-    feature = F.concat_ws(
-        ";",
-        *(F.concat(F.lit(f"{k}="), F.coalesce(v.cast("string"), F.lit("none"))) for k, v in {
-            "frames": F.size("offsets"), "samples": F.col("samples"), "hertz": F.col("hertz"), "table_frames": F.col("table_frames"), "table_bytes": F.col("table_bytes"),
-            "checksums_good": F.col("checksums_good"), "checksums_bad": F.col("checksums_bad"), "found_again": F.col("found_again"), "seek_crc32": F.crc32(F.array_join("offsets", ",")),
-        }.items()),
-    )
+    seconds = (F.col("ticks") / TICKS).cast("decimal(20,6)")
+    features = {k: F.col(k) for k in ("samples", "hertz", "ticks", "table", "table_frames", "table_bytes", "table_quality", "checksums_good", "checksums_bad", "found_again", "seek")}
+    features = {"frames": F.size("offsets"), "seconds": seconds} | features | {"points_crc32": F.crc32(F.array_join("seek_points", ","))}
+    feature = F.concat_ws(";", *(F.concat(F.lit(f"{k}="), F.coalesce(v.cast("string"), F.lit("none"))) for k, v in features.items()))
     return streams.select(
         "doc_id", "n_bytes", length.alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature")
     )

@@ -78,6 +78,47 @@ def test_mixed_frames():
     assert len(found["offsets"]) == 4 and found["samples"] == 1152 * 3 + 576
 
 
+def test_durations_and_offsets_are_exact():
+    assert [mpeg.seek_runs(x) for x in ([], [5], [10, 20, 30, 37], [1, 2, 4, 8, 12, 16])] == ["", "5+0*1", "10+10*3,37+0*1", "1+1*2,4+0*1,8+4*3"]
+    for size in (0, 576, 5000, 200_000):
+        stream = mpeg.write_stream(os.urandom(size))
+        found = mpeg.read_stream(stream)
+        assert found["ticks"] * 48_000 == found["samples"] * mpeg.TICKS
+        again = [a + k * step for a, step, n in (map(int, re.split(r"[+*]", x)) for x in found["seek"].split(",")) for k in range(n)]
+        assert again == found["offsets"] and all(stream[x : x + 4] == mpeg._HEADER for x in again)
+        count, start = len(again), len(stream) - found["table_bytes"]
+        assert found["table"] == "Xing" and found["table_quality"] == 100 and found["table_bytes"] == (count + 1) * 672
+        wanted = [672 * (1 + k * count / 100) for k in range(100)]
+        assert len(found["seek_points"]) == 100 and all(abs(a - b) <= found["table_bytes"] / 256 + 672 for a, b in zip(found["seek_points"], wanted, strict=True)) and start > 0
+
+
+def test_vbri_tables_and_changing_rates():
+    frame = b"\xff\xfb\x90\xc0" + bytes(413)
+    table = b"VBRI" + b"\x00\x01\x00\x00\x00\x4b" + (417 * 4).to_bytes(4, "big") + (3).to_bytes(4, "big") + b"".join(x.to_bytes(2, "big") for x in (3, 2, 1, 1)) + bytes([100, 101, 102])
+    first = (frame[:4] + bytes(32) + table).ljust(417, b"\x00")
+    found = mpeg.read_stream(first + frame * 3)
+    assert (found["table"], found["table_frames"], found["table_bytes"], found["table_quality"], found["seek_points"]) == ("VBRI", 3, 417 * 4, 75, [200, 402, 606])
+    assert len(found["offsets"]) == 3 and found["ticks"] == 3 * 1152 * mpeg.TICKS // 44_100
+    slow = b"\xff\xf3\x84\xc0" + bytes(int(mpeg._LENGTH[0xF384]) - 4)  # 24 kHz
+    assert mpeg.read_stream(frame * 2 + slow * 2)["ticks"] == 2 * 1152 * mpeg.TICKS // 44_100 + 2 * 576 * mpeg.TICKS // 24_000
+    cut = first[: 36 + 26 + 2]
+    assert mpeg.read_table(cut, 0, 21)["seek_points"] == [200, 402] and mpeg.read_table(b"", 0, 21) is None
+
+
+def test_null_media_and_long_texts(spark, monkeypatch):
+    rows = mpeg.read(spark.createDataFrame([(1, None), (2, bytearray(b""))], "doc_id long, media binary")).collect()
+    assert all(x["payload"] == b"" and x["offsets"] == [] and x["ticks"] == 0 and x["n_bytes"] is None and x["table"] is None for x in rows) and len(rows) == 2
+    long = "ab " * 4_000_000
+    some = mpeg.digests(mpeg.read(mpeg.store(spark.createDataFrame([(1, long), (2, "x"), (3, long)], "doc_id long, text string")))).collect()
+    assert [x["n_bytes"] for x in sorted(some)] == [12_000_000, 1, 12_000_000] and len({x["payload_sha256"] for x in some}) == 2
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(["a" * 3000, None, "b" * 10, "c" * 3000])], ["doc_id", "text"])
+    whole = pa.Table.from_batches(mpeg._stored([batch]))
+    monkeypatch.setattr(mpeg, "BATCH_BYTES", 1000)
+    parts = list(mpeg._stored([batch]))
+    assert [len(x) for x in parts] == [1, 2, 1] and pa.Table.from_batches(parts).to_pydict() == whole.to_pydict()
+    assert sum(len(x) for x in mpeg._read(parts)) == 4
+
+
 @pytest.mark.parametrize("texts", [[("a", 1), (None, 2), ("", 3), ("a", 4)]])
 def test_store_and_read_as_columns(spark, texts):
     frame = spark.createDataFrame([(k, t, "x") for t, k in texts] + [(None, "é" * 1000, "y")], "doc_id long, text string, media string")
