@@ -13,10 +13,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Blocks of 64 bits.  The filter that is broadcast has at most this many rows of two longs: 1 MB.
-BLOCKS = 1 << 16
+#: The filter grows with the list: a block of 64 bits for each two entries.
+ENTRIES = 2
+#: Most blocks of the filter that is broadcast, two longs each: 16 MB.  Longer lists fill it, so that more false hits reach the exact join.
+BLOCKS = 1 << 20
 #: Bits that an entry sets in its block.
 BITS = 4
+#: Parts of what meets a listed entry whose host is one label, such as `com`, in the exact join.
+SPREAD = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,6 +45,11 @@ def _with_bits(frame: DataFrame, host: str, path: str, blocks: int) -> DataFrame
     return frame.withColumn("h_", other).withColumn("block_", _block(host, path, blocks)).withColumn("mask_", mask).drop("h_")
 
 
+def blocks_for(entries: int, most: int = BLOCKS) -> int:
+    """A power of two, at most `most` and at least 1."""
+    return min(most, 1 << max(0, (entries - 1) // ENTRIES).bit_length())
+
+
 def bloom_filter(listed: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """(block_, bits_) of the listed (host, path); at most `blocks` rows however long the list is."""
     return _with_bits(listed.select("host", "path"), "host", "path", blocks).groupBy("block_").agg(F.bit_or("mask_").alias("bits_"))
@@ -55,10 +64,13 @@ def judge_urls(pages: DataFrame, listed: DataFrame, *, key: str = "page_id", url
     one entry, block counts; listed rows with a null are left out.  Null urls, and
     urls without `://`, have an empty host and path and fit nothing.  Rows may repeat and keys may be
     null or repeat: each row gets its own result.  Other columns are ignored.
+
+    Entries whose host is a single label are met by much of the web: they are repeated `SPREAD` times and their
+    possible hits dealt over the copies.  Rows without a host are dealt by their key, since no rule can meet them.
     """
     listed = listed.where("host is not null and path is not null and verdict is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    #: Numbers up to the length of the longest listed path, no more.
-    lengths = sorted(r[0] for r in listed.select(F.length("path")).distinct().collect())
+    counted = listed.groupBy(F.length("path").alias("n")).count().collect()  # numbers up to the length of the longest listed path, no more
+    lengths, blocks = sorted(r["n"] for r in counted), blocks_for(sum(r["count"] for r in counted), blocks)
     parsed = pages.select(F.col(key).alias("key_"), F.col(url).cast("string").alias("url_"))
     host, path = host_and_path(F.col("url_"))
     parsed = parsed.select(F.col("key_").alias(key), host.alias("host"), path.alias("path"))
@@ -73,8 +85,13 @@ def judge_urls(pages: DataFrame, listed: DataFrame, *, key: str = "page_id", url
         .where(F.col("bits_").bitwiseAND(F.col("mask_")) == F.col("mask_"))
         .select("host", "path", "suffix_", "prefix_")
     )
-    exact = possible.join(listed.select(F.col("host").alias("suffix_"), F.col("path").alias("prefix_"), "verdict"), ["suffix_", "prefix_"])
+    wide = F.instr("suffix_", ".") == 0
+    part = F.when(wide, F.pmod(F.xxhash64("host", "path"), F.lit(SPREAD)).cast("int")).otherwise(0)
+    entries = listed.select(F.col("host").alias("suffix_"), F.col("path").alias("prefix_"), "verdict")
+    entries = entries.withColumn("part_", F.explode(F.when(wide, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))))
+    exact = possible.withColumn("part_", part).join(entries, ["suffix_", "prefix_", "part_"])
     rule = F.concat("suffix_", "prefix_")
     ruled = exact.groupBy("host", "path").agg(F.max(F.struct(F.length(rule).alias("n"), rule.alias("rule"), "verdict")).alias("best"))
-    ruled = ruled.select("host", "path", "best.rule", "best.verdict")
-    return parsed.join(ruled, ["host", "path"], "left").select(key, "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+    ruled = ruled.select("host", "path", F.lit(0).cast("long").alias("part_"), "best.rule", "best.verdict")
+    dealt = parsed.withColumn("part_", F.when(F.col("host") == "", F.xxhash64(key)).otherwise(0))
+    return dealt.join(ruled, ["host", "path", "part_"], "left").select(key, "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))

@@ -41,6 +41,23 @@ def test_url_rules(spark, blocks):
     assert urls.judge_urls(pages.limit(0), listed).count() == 0 and urls.judge_urls(pages, listed.limit(0)).where("verdict = 'allow'").count() == 2 * len(cases)
 
 
+def test_long_lists_and_long_urls(spark):
+    """The filter grows with the list up to its bound; hosts of one label, rows without a host and very long urls keep their results."""
+    assert [urls.blocks_for(n) for n in (0, 1, 2, 3, 1000, 10**9)] == [1, 1, 1, 2, 512, urls.BLOCKS] and urls.blocks_for(10**9, 64) == 64
+    rules = {(f"h{k}.org", f"/{k % 50}/"): "block" if k % 3 else "allow" for k in range(2000)} | {("com", "/"): "block", ("org", "/7/"): "allow", ("org", "/" + "p" * 3000): "block"}
+    listed = spark.createDataFrame([(*k, v) for k, v in rules.items()], "host string, path string, verdict string")
+    plain = [f"http://a.h{k}.org/{k % 60}/x" for k in range(0, 3000, 7)] + [f"http://s{k % 5}.com/{k}" for k in range(300)] + ["nothing"] * 300 + ["http://a.org/" + "p" * 1_000_000, "http://" + "b." * 200 + "org/7/"]
+    pages = spark.createDataFrame(list(enumerate(plain)), "page_id long, url string")
+    rows = {x["page_id"]: x for x in urls.judge_urls(pages, listed).collect()}
+    assert len(rows) == len(plain)
+    for k, url in enumerate(plain):
+        host, _, path = url.partition("://")[2].partition("/")
+        labels, path = host.split("."), "/" + path
+        fits = [(".".join(labels[i:]), path[:n]) for i in range(len(labels)) for n in (1, 3, 4, 3001) if (".".join(labels[i:]), path[:n]) in rules and len(path) >= n] if host else []
+        best = max(fits, key=lambda x: len(x[0] + x[1]), default=None)
+        assert (rows[k]["rule"], rows[k]["verdict"]) == (("".join(best), rules[best]) if best else (None, "allow"))
+
+
 # -- secrets
 
 @pytest.mark.parametrize(
