@@ -17,6 +17,7 @@ from tessera.operators import lexical as L
 from tessera.operators import inverted as I
 from tessera.operators import search as S
 from tessera.operators.approximate import approximate_search, projections
+from tessera.operators.cells import Cells, cell_search, dealt, measured
 from tessera.operators.recommend import recommend
 from tessera.operators.rerank import rerank
 from tessera.plans.filters import inferred_filter, structured_filter
@@ -134,6 +135,24 @@ def tensor_topk_approximate(spark, folder):
     return _rounded(approximate_search(model, index, _vector(spark, folder, 0), explored=300))
 
 
+def _cells(spark, folder, metric: str) -> Cells:
+    rows, centres = dealt(_chunks(spark, folder), metric=metric, cells=32)
+    return Cells.of_rows(rows, measured(rows, centres, metric), metric)
+
+
+@query(_top("euclidean"))
+def tensor_topk_cells(spark, folder):
+    """Exact, by the cells that can hold a row of the page."""
+    return _rounded(cell_search(_cells(spark, folder, "euclidean"), _vector(spark, folder, 0)))
+
+
+@query(f"WITH {_E}, {_Q} SELECT _id, round({_CLOSE['angular']}, 6) AS score FROM e, q WHERE label IN (1, 3) ORDER BY {_CLOSE['angular']} DESC, _id LIMIT 5 OFFSET 10")
+def tensor_cells_filtered_page(spark, folder):
+    docs = _embeddings(spark, folder).select("_id", "label")
+    where = structured_filter(docs, "label IN (1, 3)")
+    return _rounded(cell_search(_cells(spark, folder, "angular"), _vector(spark, folder, 0), docs=docs, where=where, limit=5, offset=10))
+
+
 @query("SELECT 'none' AS _id, 0.0::DOUBLE AS score WHERE false")
 def tensor_no_fields(spark, folder):
     return _rounded(S.tensor_search(_chunks(spark, folder), _vector(spark, folder, 0), fields=[]))

@@ -2,7 +2,7 @@
 
 `<root>/_indexes` has a row for each change of an index; the row of its largest version counts.  What version n adds stands in
 `<root>/<name>/<part>/_version=n`, where the parts are documents, chunks, terms (the inverted index), lengths (sums of words, below
-zero for what goes) and gone (keys whose earlier rows count no more).  A change writes its folders and then its row, so that readers
+zero for what goes), gone (keys whose earlier rows count no more) and, once built, cells (the chunks of that version by cell) and centres.  A change writes its folders and then its row, so that readers
 see either state, and it writes its own rows only: readers take those of all versions since the last whole one but for what is gone.
 Once such changes hold half as many rows as the whole version that they follow, the next one writes all anew, so that a row is written a few
 times however many batches come.  An index has one writer at a time.
@@ -23,6 +23,7 @@ from tessera.functions.scoring import ScoreModifiers
 from tessera.operators import documents as D
 from tessera.operators import embedding as E
 from tessera.operators import inverted
+from tessera.operators.cells import BOUNDED, CENTRES, NOT_DEALT, Cells, cell_search, write_cells
 from tessera.operators.lexical import KeywordQuery
 from tessera.operators.recommend import recommend
 from tessera.operators.search import CustomVector, Hybrid, hybrid_search, lexical_search, scored_page, tensor_search
@@ -101,7 +102,11 @@ class Indexes:
         rows = self._rows(name, part, schema, state.base, state.version)
         if state.version == state.base:
             return rows.drop("_version")
-        gone = self._rows(name, "gone", _GONE, state.base + 1, state.version)
+        return self._without_gone(state, part, rows, state.base)
+
+    def _without_gone(self, state: State, part: str, rows: DataFrame, after: int) -> DataFrame:
+        """`rows`, which count at version `after` or are younger, less those of keys that are gone since."""
+        gone = self._rows(state.spec.name, "gone", _GONE, after + 1, state.version)
         gone = gone.where("vectors") if part == "chunks" else gone
         last = gone.groupBy(F.col("_id").alias("gone_id")).agg(F.max("_version").alias("until"))
         return rows.join(last, (F.col("_id") == F.col("gone_id")) & (F.col("_version") < F.col("until")), "left_anti").drop("_version")
@@ -112,6 +117,46 @@ class Indexes:
     def _chunks(self, state: State) -> DataFrame:
         return self._live(state, "chunks", _CHUNKS)
 
+    def build_cells(self, name: str, *, cells: int = 256, **options) -> None:
+        """Stores the chunks by cell (see operators.cells), which tensor search then reads.
+
+        Later changes are read beside the cells, until a whole version is written; build them anew then.  Without vectors, or with
+        cells of this version already there, nothing is done.
+        """
+        state = self._state(name)
+        if state.spec.distance_metric not in BOUNDED:
+            raise ValueError(f"cells know the metrics {', '.join(BOUNDED)}")
+        chunks, known = self._chunks(state), self._cells_version(state)
+        if known == state.version or chunks.where("embedding is not null").isEmpty():
+            return
+        build = uuid4().hex  # what a build that failed has left is never read
+        rows = f"{self._folder(name, 'cells', state.version)}/_build={build}"
+        write_cells(chunks, rows, f"{self._folder(name, 'centres', state.version)}/_build={build}", metric=state.spec.distance_metric, cells=cells, **options)
+
+    def _centres(self, name: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(f"{CENTRES}, _version long, _build string").parquet(f"{self.root}/{name}/centres")
+        except AnalysisException:
+            return self.spark.createDataFrame([], f"{CENTRES}, _version long, _build string")
+
+    def _cells_version(self, state: State) -> int | None:
+        """The version whose chunks were dealt last, if what it took from is not written anew since."""
+        last = self._centres(state.spec.name).where(F.col("_version") <= state.version).agg(F.max("_version")).first()[0]
+        return last if last is not None and last >= state.base else None
+
+    def _cells(self, state: State) -> Cells | None:
+        """The live chunks by cell; those that are younger than the cells are in none."""
+        name, version = state.spec.name, self._cells_version(state)
+        if version is None:
+            return None
+        centres = self._centres(name).where(F.col("_version") == version)
+        build = centres.agg(F.max("_build")).first()[0]
+        rows = self.spark.read.schema(f"{_CHUNKS}, cell_ int").parquet(f"{self._folder(name, 'cells', version)}/_build={build}")
+        if version < state.version:
+            younger = self._rows(name, "chunks", _CHUNKS, version + 1, state.version).withColumn("cell_", F.lit(NOT_DEALT))
+            rows = self._without_gone(state, "chunks", rows.withColumn("_version", F.lit(version).cast("long")).unionByName(younger), version)
+        return Cells.of_rows(rows, centres.where(F.col("_build") == build), state.spec.distance_metric)
+
     def _write(self, spec: IndexSpec, docs: DataFrame, chunks: DataFrame, state: State | None = None, gone: DataFrame | None = None) -> None:
         """A new version: `docs` and `chunks` are all rows, or, with `gone` (_id, vectors), what stands in place of the rows of these keys.
 
@@ -289,7 +334,8 @@ class Indexes:
         """One page of hits by TENSOR, LEXICAL or HYBRID search.
 
         Where a keyword arm takes part, `q` is a text or a CustomVector with one as its content.  Without `q`, or with
-        weighted texts, HYBRID search is tensor/tensor only, and without `q` it needs a context.
+        weighted texts, HYBRID search is tensor/tensor only, and without `q` it needs a context.  TENSOR search is exact; where cells were
+        built and scores aren't modified it reads those that the page can need, or, if `approximate`, the nearest few alone.
         """
         spec, docs = self.settings(name), self.documents(name)
         where = self._where(name, docs, filter)
@@ -314,6 +360,8 @@ class Indexes:
         if method == "TENSOR":
             if searchable_attributes and (unknown := {*searchable_attributes} - {*spec.tensor_fields}):
                 raise ValueError(f"no tensor fields: {', '.join(sorted(unknown))}")
+            if score_modifiers is None and (index := self._cells(self._state(name))):
+                return cell_search(index, vector, docs=docs, fields=searchable_attributes, where=where, limit=limit, offset=offset, exact=not approximate)
             return tensor_search(self.chunks(name), vector, docs=docs, metric=spec.distance_metric, fields=searchable_attributes, where=where, modifiers=score_modifiers, limit=limit, offset=offset)
         if method == "HYBRID":
             if score_modifiers or searchable_attributes:
