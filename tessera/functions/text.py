@@ -106,19 +106,23 @@ def box_overlap(a: Column, b: Column) -> Column:
     return shared / F.greatest(box_area(a) + box_area(b) - shared, F.lit(1e-12))
 
 
+def box_fits(box: Column, *, least_area: float = 0.0, most_ratio: float | None = None) -> Column:
+    """Whether a box is large enough and not too long."""
+    wide, high = F.greatest(box["right"] - box["left"], F.lit(1e-12)), F.greatest(box["bottom"] - box["top"], F.lit(1e-12))
+    return (box_area(box) >= least_area) & (F.lit(True) if most_ratio is None else F.greatest(wide / high, high / wide) <= most_ratio)
+
+
 def kept_boxes(boxes: Column, *, least_area: float = 0.0, most_ratio: float | None = None, most_overlap: float = 1.0, top: int | None = None) -> Column:
     """Of an array of (left, top, right, bottom, score) the best ones: large enough, not too long, none that overlaps a better one too much.
 
-    Best scores come first, ties as they stood; `top` of them are kept at most.
+    Best scores come first, ties as they stood; `top` of them are kept at most.  A box is compared with those
+    kept before it, at most `top`; no box overlaps another by more than 1, so that none are compared then.
+    The array is one picture's: where a group may have any number of boxes, see `operators.boxes`.
     """
-    sides = lambda x: (F.greatest(x["right"] - x["left"], F.lit(1e-12)), F.greatest(x["bottom"] - x["top"], F.lit(1e-12)))
-
-    def fits(x: Column) -> Column:
-        wide, high = sides(x)
-        return (box_area(x) >= least_area) & (F.lit(True) if most_ratio is None else F.greatest(wide / high, high / wide) <= most_ratio)
-
+    fits = lambda x: box_fits(x, least_area=least_area, most_ratio=most_ratio)
     placed = F.transform(F.filter(boxes, fits), lambda x, k: F.struct((-x["score"]).alias("by"), k.alias("place"), x.alias("box")))
-    ordered = F.transform(F.array_sort(placed), lambda x: x["box"])
-    none = F.slice(ordered, 1, 0)
-    kept = F.aggregate(ordered, none, lambda done, x: F.when(F.exists(done, lambda y: box_overlap(x, y) > most_overlap), done).otherwise(F.concat(done, F.array(x))))
+    kept = F.transform(F.array_sort(placed), lambda x: x["box"])
+    if most_overlap < 1:
+        full = lambda done: F.lit(False) if top is None else F.size(done) >= top
+        kept = F.aggregate(kept, F.slice(kept, 1, 0), lambda done, x: F.when(full(done) | F.exists(done, lambda y: box_overlap(x, y) > most_overlap), done).otherwise(F.concat(done, F.array(x))))
     return kept if top is None else F.slice(kept, 1, top)

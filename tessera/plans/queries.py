@@ -17,6 +17,7 @@ from tessera.operators import lexical as L
 from tessera.operators import inverted as I
 from tessera.operators import search as S
 from tessera.operators.approximate import approximate_search, projections
+from tessera.operators.boxes import best_boxes
 from tessera.operators.cells import Cells, cell_search, dealt, measured
 from tessera.operators.recommend import recommend
 from tessera.operators.rerank import rerank
@@ -779,8 +780,8 @@ SELECT p_brand, r::INTEGER - 1 AS place, s AS score FROM k WHERE r <= 5""")
 def boxes_kept(spark, folder):
     """Boxes by brand: large enough, not too long, the five best."""
     box = F.struct(F.lit(0.0).alias("left"), F.lit(0.0).alias("top"), F.col("p_size").cast("double").alias("right"), (51 - F.col("p_size")).cast("double").alias("bottom"), F.col("p_retailprice").alias("score"))
-    rows = _table(spark, folder, "part").groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", box.alias("box")))), lambda x: x["box"]).alias("boxes"))
-    return rows.select("p_brand", F.posexplode(X.kept_boxes(F.col("boxes"), least_area=300, most_ratio=3.0, top=5)).alias("place", "b")).select("p_brand", "place", F.col("b.score").alias("score"))
+    rows = _table(spark, folder, "part").select("p_brand", "p_partkey", box.alias("box"))
+    return best_boxes(rows, ["p_brand"], ties=["p_partkey"], least_area=300, most_ratio=3.0, top=5).select("p_brand", "place", F.col("box.score").alias("score"))
 
 
 def _slerp_sql(second: float) -> str:

@@ -93,6 +93,31 @@ def test_boxes_that_overlap_a_better_one_go(spark):
     assert [[x["score"] for x in r["k"]] for r in rows] == [[0.9, 0.1], []]
 
 
+def test_boxes_of_large_groups(spark, capsys):
+    """The best of a group's boxes are found without the group in one row, and as kept_boxes finds them."""
+    from tessera.operators.boxes import best_boxes
+    from tessera.plans import queries
+
+    box = F.struct(F.lit(0.0).alias("left"), F.lit(0.0).alias("top"), (F.col("id") % 23).cast("double").alias("right"), (F.col("id") % 29).cast("double").alias("bottom"), F.when(F.col("id") > 9, F.col("id") % 101).cast("double").alias("score"))
+    rows = spark.range(0, 3000, 1, 3).select(F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("k"), "id", box.alias("box"))
+    found = best_boxes(rows, ["k"], ties=["id"], least_area=50, most_ratio=3.0, top=4).select("k", "place", "id")
+    whole = rows.where("id > 9").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("id", "box"))).alias("b"))
+    b = F.transform("b", lambda x: x["box"].withField("id", x["id"]))
+    wanted = whole.select("k", F.posexplode(X.kept_boxes(b, least_area=50, most_ratio=3.0, top=4)).alias("place", "x")).select("k", "place", "x.id")
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect())) and found.count() == 28
+    queries.boxes_kept(spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert "WindowGroupLimit" in plan and "collect_list" not in plan
+
+
+def test_boxes_are_compared_with_the_kept_ones_only(spark):
+    """50,000 boxes that don't overlap: comparing each with all better ones is work that grows with the square."""
+    box = lambda k: F.struct(k.cast("double").alias("left"), F.lit(0.0).alias("top"), (k + 1).cast("double").alias("right"), F.lit(1.0).alias("bottom"), (-k).cast("double").alias("score"))
+    boxes = F.transform(F.sequence(F.lit(0), F.lit(49_999)), box)
+    row = spark.range(1).select(boxes.alias("b")).select(X.kept_boxes(F.col("b"), most_overlap=0.5, top=3).alias("few"), F.size(X.kept_boxes(F.col("b"))).alias("all")).first()
+    assert [x["left"] for x in row["few"]] == [0.0, 1.0, 2.0] and row["all"] == 50_000
+
+
 def test_rows_get_the_same_id_again(spark):
     from tessera.operators.documents import with_ids
 
