@@ -48,6 +48,11 @@ def normalised(v: Column) -> Column:
     return F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(v)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x rounded half away from zero; what is rounded to zero keeps its sign, as in IEEE arithmetic and in DuckDB."""
+    return F.round(F.abs(x), digits) * F.signum(x)
+
+
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 

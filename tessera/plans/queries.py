@@ -216,7 +216,7 @@ def recommend_slerp(spark, folder):
 
 @query(f"WITH {_E} SELECT _id, list_transform(v, lambda x: round(x / {_NORM.format('v')}, 5)) AS unit FROM e")
 def normalize_vectors(spark, folder):
-    return _embeddings(spark, folder).select("_id", F.transform(V.normalised(V.doubles("embedding")), lambda x: F.round(x, 5)).alias("unit"))
+    return _embeddings(spark, folder).select("_id", F.transform(V.normalised(V.doubles("embedding")), lambda x: V.rounded(x, 5)).alias("unit"))
 
 
 _COMBO = f"""WITH {_E}, parts AS (SELECT (vec_id // 3)::VARCHAR AS doc, ['a', 'b', 'c'][vec_id % 3 + 1] AS field, [0.5, 0.3, 0.2][vec_id % 3 + 1]::DOUBLE AS w, v FROM e),
@@ -230,13 +230,13 @@ def multimodal_combination(spark, folder):
     field = F.get(F.array(*map(F.lit, "abc")), (F.col("vec_id") % 3).cast("int"))
     parts = _embeddings(spark, folder).select(F.expr("string(vec_id div 3)").alias("_id"), field.alias("field"), "embedding")
     made = E.combined(parts, {"a": 0.5, "b": 0.3, "c": 0.2}, name="abc")
-    return made.select("_id", F.round(F.get("embedding", F.lit(0)), 5).alias("first"), F.round(F.get("embedding", F.lit(63)), 5).alias("last"))
+    return made.select("_id", V.rounded(F.get("embedding", F.lit(0)), 5).alias("first"), V.rounded(F.get("embedding", F.lit(63)), 5).alias("last"))
 
 
 @query(f"WITH {_E}, x AS (SELECT label, unnest(range(0, 64)) AS p, unnest(v) AS y FROM e) SELECT label, p::INTEGER AS part, round(avg(y), 5) AS mean FROM x GROUP BY ALL")
 def mean_vector_by_group(spark, folder):
     means = mean_vectors(_embeddings(spark, folder), ["label"])
-    return means.select("label", F.posexplode("embedding").alias("part", "m")).select("label", "part", F.round("m", 5).alias("mean"))
+    return means.select("label", F.posexplode("embedding").alias("part", "m")).select("label", "part", V.rounded(F.col("m"), 5).alias("mean"))
 
 
 # -- keywords
@@ -373,19 +373,19 @@ def filter_inferred_fields(spark, folder):
 def score_modifiers_mult_add(spark, folder):
     docs = _parts(spark, folder)
     m = ScoreModifiers.of({"multiply_score_by": [{"field_name": "p_size", "weight": 2}], "add_to_score": [{"field_name": "p_retailprice", "weight": 0.5}, {"field_name": "p_size", "weight": -1}]})
-    return docs.select("_id", F.round(S.modified(docs, F.lit(1.0), m), 6).alias("score"))
+    return docs.select("_id", V.rounded(S.modified(docs, F.lit(1.0), m), 6).alias("score"))
 
 
 @query("SELECT p_partkey::VARCHAR AS _id, round(CASE WHEN p_size % 2 = 0 THEN 10.0 * p_size ELSE 1.0 END * 0.5 + CASE WHEN p_size % 5 = 0 THEN -3.0 * p_size ELSE 0.0 END, 6)::DOUBLE AS score FROM part")
 def score_modifiers_missing_field(spark, folder):
     docs = _parts(spark, folder).withColumns({"even": F.when(F.col("p_size") % 2 == 0, F.col("p_size")), "fifth": F.when(F.col("p_size") % 5 == 0, F.col("p_size"))})
-    return docs.select("_id", F.round(S.modified(docs, F.lit(0.5), ScoreModifiers({"even": 10.0}, {"fifth": -3.0})), 6).alias("score"))
+    return docs.select("_id", V.rounded(S.modified(docs, F.lit(0.5), ScoreModifiers({"even": 10.0}, {"fifth": -3.0})), 6).alias("score"))
 
 
 @query("SELECT event_id::VARCHAR AS _id, round(coalesce(2.0 * json_extract(props, '$.k')::DOUBLE, 1.0) * 3.0 + value, 6)::DOUBLE AS score FROM events")
 def score_modifiers_map(spark, folder):
     docs = _table(spark, folder, "events").withColumns({"_id": F.col("event_id").cast("string"), "props": F.from_json("props", "map<string,double>")})
-    return docs.select("_id", F.round(S.modified(docs, F.lit(3.0), ScoreModifiers({"props.k": 2.0}, {"value": 1.0})), 6).alias("score"))
+    return docs.select("_id", V.rounded(S.modified(docs, F.lit(3.0), ScoreModifiers({"props.k": 2.0}, {"value": 1.0})), 6).alias("score"))
 
 
 @query(f"""WITH {_E}, {_Q}, near AS (SELECT _id, label, {_CLOSE['prenormalized-angular']} AS s FROM e, q ORDER BY s DESC, _id LIMIT 20)
@@ -664,7 +664,7 @@ def score_modifiers_repeated(spark, folder):
     """Of a field that is named twice the last weight counts; unknown fields are nothing unless asked for."""
     m = ScoreModifiers.of({"multiply_score_by": [{"field_name": "p_size", "weight": 9}, {"field_name": "p_size", "weight": 3}, {"field_name": "absent"}], "add_to_score": [{"field_name": "p_retailprice", "weight": -4}]})
     docs = _parts(spark, folder)
-    return docs.select("_id", F.round(S.modified(docs, F.lit(2.0), m, strict=False), 6).alias("score"))
+    return docs.select("_id", V.rounded(S.modified(docs, F.lit(2.0), m, strict=False), 6).alias("score"))
 
 
 # -- rules: what a request may be

@@ -41,6 +41,18 @@ def test_query(spark, tables, duck, name):
     assert sorted([plain(x) for x in row] for row in frame.select(*columns).collect()) == wanted
 
 
+@pytest.mark.parametrize("name", ["normalize_vectors", "multimodal_combination", "mean_vector_by_group"])
+def test_what_is_rounded_to_zero_keeps_its_sign(spark, tmp_path, name):
+    """As in SQL, -0.000002 gives -0.0, which is not 0.0 in a row that is written."""
+    rows = [(k, [-2e-6 if k < 3 else 2e-6, *[0.125] * 62, -1e-7], k // 3) for k in range(6)] + [(6, [-0.0, *[-0.125] * 62, 0.0], 2)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    wanted = sorted(map(str, connection.sql(queries.SQL[name]).fetchall()))
+    assert "-0.0," in str(wanted) or "-0.0)" in str(wanted)
+    assert sorted(str(tuple(x)) for x in queries.QUERIES[name](spark, str(tmp_path)).collect()) == wanted
+
+
 def test_queries_without_sql_run(spark, tables):
     for name in set(queries.QUERIES) - set(queries.SQL):
         assert queries.QUERIES[name](spark, tables).count() > 0
