@@ -18,12 +18,13 @@ def units(text: Column, by: str) -> Column:
     """A text's units.
 
     Words and sentences are cut by patterns: a word is a run of letters, digits and marks inside it, or a
-    mark; a sentence ends after `.`, `!` or `?` and closing marks before white space.
+    mark; a sentence ends after `.`, `!` or `?` and closing marks before white space.  Repeats in the pattern
+    of words are possessive: nothing after them can fail, and without places to go back to a word may be of any length.
     """
     if by == "character":
         return F.filter(F.split(text, ""), lambda x: x != "")
     if by == "word":
-        return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+(?:['’.,-][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}])"), F.lit(1))
+        return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]++(?:['’.,-][\p{L}\p{N}]++)*+|[^\s\p{L}\p{N}])"), F.lit(1))
     if by == "sentence":
         return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x) != "")
     if by == "passage":
@@ -39,10 +40,14 @@ def split_text(text: Column, *, by: str = "sentence", length: int = 2, overlap:
     """
     if length < 1 or not 0 <= overlap < length:
         raise ValueError("length must be at least 1 and overlap at least 0 and below length")
-    parts = units(text, by)
     glue = "" if by == "character" else " "
-    starts = F.sequence(F.lit(0), F.size(parts) - 1, F.lit(length - overlap))
-    windows = F.filter(F.transform(starts, lambda at: F.array_join(F.slice(parts, at + 1, length), glue)), lambda x: F.trim(x) != "")
+
+    def joined(parts: Column) -> Column:
+        starts = F.when(F.size(parts) > 0, F.sequence(F.lit(0), F.size(parts) - 1, F.lit(length - overlap))).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.transform(starts, lambda at: F.array_join(F.slice(parts, at + 1, length), glue)), lambda x: F.trim(x) != "")
+
+    # The text is cut once: a variable of a lambda holds its units, while an expression would be worked out again for each window.
+    windows = F.get(F.transform(F.array(units(text, by)), joined), F.lit(0))
     return F.when(text.isNull(), F.array().cast("array<string>")).when(F.trim(text) == "", F.array(F.lit(" "))).when(F.length(text) <= 1, F.array(text)).otherwise(windows)
 
 

@@ -59,6 +59,23 @@ def test_split(spark, text, by, length, overlap, chunks):
     assert found[: len(chunks)] == chunks
 
 
+@pytest.mark.parametrize("by", X.UNITS)
+def test_texts_are_cut_once(spark, by):
+    """Not once for each window, which is work that grows with the square of a text."""
+    unit = {"character": "x", "word": "x ", "sentence": "x. ", "passage": "x\n\n"}[by]
+    frame = spark.createDataFrame([(unit * 2000,)], "t string").select(X.split_text(F.col("t"), by=by, length=50, overlap=10).alias("c"))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(" if by == "word" else "split(") == 1
+    chunks = frame.first()["c"]
+    assert len(chunks) == 50 and chunks[0].count("x") == 50 and chunks[-1].count("x") == 40
+
+
+@pytest.mark.parametrize(("text", "chunks"), [("\n\t\n", []), ("a-" * 20000 + "b c", ["a-" * 20000 + "b c"]), ("’a’’b", ["’ a ’ ’ b"])])
+def test_words_of_odd_texts(spark, text, chunks):
+    frame = spark.createDataFrame([(text,)], "t string")
+    assert frame.select(X.split_text(F.col("t"), by="word", length=50, overlap=10).alias("c")).first()["c"] == chunks
+
+
 def test_modifiers(spark):
     frame = spark.createDataFrame([("a", 3.0, None, {"k": 2.0}), ("b", None, 1.0, None), ("c", 0.0, -1.0, {})], "_id string, m double, a double, d map<string,double>")
     score = lambda x, **o: {r["_id"]: r["s"] for r in frame.select("_id", modified(frame, F.lit(1.0), x, **o).alias("s")).collect()}
